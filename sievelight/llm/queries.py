@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import token_counts, token_records
+from sievelight.llm import mixing, sharding, token_counts, token_records
 from sievelight.plans.staging import new_path
 
 
@@ -16,6 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    shards = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return shards.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """Weight 2 for documents labelled good, 1/2 for those labelled bad."""
+    mean = F.avg("quality")
+    return labels.groupBy("doc_id").agg((F.pow(F.lit(2.0), 2 * mean - 1)).alias("weight")).where("weight is not null")
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source, better ones more likely."""
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents by the 50k byte-level vocabulary."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -29,6 +49,6 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_counts, op9_token_records)
+    f.__name__: f for f in (op4_shards, op5_token_counts, op6_mix, op9_token_records)
 }
 ORACLE_SQL: dict[str, str] = {}
