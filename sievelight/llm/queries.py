@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import mixing, sharding, token_counts, token_records
+from sievelight.llm import chat, fingerprints, mixing, sharding, token_counts, token_records
 from sievelight.plans.staging import new_path
 
 
@@ -16,6 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and read back from the formatted strings."""
+    said = r"\### Assistant: </turn> ok"
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    read = chat.read_formatted(chat.format_reply_trees(chat.chain(rows)))
+    turns = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n")))
+    return read.select(
+        F.col("tree").alias("conv_id"),
+        F.size("texts").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     shards = sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -41,6 +61,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as framed ids and read back."""
     folder = new_path(spark, "token-records")
@@ -49,6 +74,6 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_shards, op5_token_counts, op6_mix, op9_token_records)
+    f.__name__: f for f in (op1_chat, op4_shards, op5_token_counts, op6_mix, op7_fingerprints, op9_token_records)
 }
 ORACLE_SQL: dict[str, str] = {}
