@@ -88,7 +88,8 @@ def count_tokens(
     fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache_path)
     discard(missing, spare)
 
-    counts = read_cache(spark, cache_path, version)
+    # written out, so that the join below reads both sides from exchanges and can split a hot digest
+    counts = stage(read_cache(spark, cache_path, version), "counts")
     return seen.join(counts, "digest").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit")
     )
