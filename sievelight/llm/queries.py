@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import chat, fingerprints, mixing, near_duplicates, sharding, token_counts, token_records
+from sievelight.llm import chat, decontamination, fingerprints, mixing, near_duplicates, sharding, token_counts, token_records
 from sievelight.plans.staging import new_path
 
 
@@ -42,6 +42,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "copy_id", "n_links")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of all documents with the benchmark."""
+    found = decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     shards = sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -80,6 +86,6 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat, op2_near_duplicates, op4_shards, op5_token_counts, op6_mix, op7_fingerprints, op9_token_records)
+    f.__name__: f for f in (op1_chat, op2_near_duplicates, op3_decontamination, op4_shards, op5_token_counts, op6_mix, op7_fingerprints, op9_token_records)
 }
 ORACLE_SQL: dict[str, str] = {}
