@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import chat, decontamination, fingerprints, mixing, near_duplicates, sharding, token_counts, token_records
+from sievelight.llm import chat, decontamination, fingerprints, mixing, near_duplicates, quality, sharding, token_counts, token_records
 from sievelight.plans.staging import new_path
 
 
@@ -85,7 +85,14 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_records(spark, folder, digest=True)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of all documents, with hosts by source and paths by language."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat, op2_near_duplicates, op3_decontamination, op4_shards, op5_token_counts, op6_mix, op7_fingerprints, op9_token_records)
+    f.__name__: f for f in (op1_chat, op2_near_duplicates, op3_decontamination, op4_shards, op5_token_counts, op6_mix, op7_fingerprints, op9_token_records, op10_quality)
 }
 ORACLE_SQL: dict[str, str] = {}
