@@ -41,3 +41,13 @@ def join_groups(
     for k in keys:
         same = same & left[k].eqNullSafe(F.col(f"__g_{k}"))
     return left.join(right, same, how).drop("__salt", "__gsalt", *drop)
+
+
+def without(rows: DataFrame, out: DataFrame, same: Column, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows that ``same`` pairs with no row of ``out``; ``rows`` stays where it is if ``out`` is small.
+
+    ``out`` is counted and broadcast up to ``broadcast_rows``, and joined by a
+    shuffle beyond them.
+    """
+    few = out.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return rows.join(F.broadcast(out) if few else out, same, "left_anti")
