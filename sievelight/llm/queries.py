@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import chat, decontamination, fingerprints, mixing, near_duplicates, quality, sharding, token_counts, token_records
+from sievelight.llm import chat, decontamination, fingerprints, licenses, mixing, near_duplicates, quality, sharding, token_counts, token_records
 from sievelight.plans.staging import new_path
 
 
@@ -78,6 +78,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wordings in all documents."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.template_table(spark))
+    return found.drop("text_hash")
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as framed ids and read back."""
     folder = new_path(spark, "token-records")
@@ -93,6 +99,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat, op2_near_duplicates, op3_decontamination, op4_shards, op5_token_counts, op6_mix, op7_fingerprints, op9_token_records, op10_quality)
+    f.__name__: f for f in (op1_chat, op2_near_duplicates, op3_decontamination, op4_shards, op5_token_counts, op6_mix, op7_fingerprints, op8_licenses, op9_token_records, op10_quality)
 }
-ORACLE_SQL: dict[str, str] = {}
+_OP1_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, t, CASE WHEN t = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) x(t)),
+o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM r),
+s AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS turns,
+         coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss,
+         sum(15 + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + length(text)
+             + len(regexp_extract_all(text, '<\\*/?turn'))) AS formatted
+  FROM o GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted AS BIGINT) AS formatted_chars FROM s"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1_SQL, "op8_licenses": licenses.oracle()}
