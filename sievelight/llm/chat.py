@@ -16,6 +16,8 @@ formatted string, that hold the texts of the assistant.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,22 +61,26 @@ def _doubled(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     # seen: messages from this one up to, but not with, `up`
     state = nodes.select("uid", "up", F.lit(1).alias("seen"), F.col("score").alias("sum"), F.col("uid").alias("top"))
     state = stage(state, "chat-pointers")
-    levels, left = [], state.where("up is not null").count()
+    levels, left, done = [], state.where("up is not null").count(), []
     while left:
         levels.append(state)
+        done.append(state.where("up is null"))
         far = state.select(F.col("uid").alias("up"), F.col("up").alias("up2"), F.col("seen").alias("seen2"), F.col("sum").alias("sum2"), F.col("top").alias("top2"))
-        state = state.join(far, "up", "left").select(
+        # only messages that have not come to their root go on
+        moved = state.where("up is not null").join(far, "up").select(
             "uid",
             F.col("up2").alias("up"),
-            (F.col("seen") + F.coalesce("seen2", F.lit(0))).alias("seen"),
-            (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"),
-            F.coalesce("top2", "top").alias("top"),
+            (F.col("seen") + F.col("seen2")).alias("seen"),
+            (F.col("sum") + F.col("sum2")).alias("sum"),
+            F.col("top2").alias("top"),
         )
-        state = stage(state, "chat-pointers")
-        now = state.where("up is not null").count()
+        moved = stage(moved, "chat-pointers")
+        # a message that is through stays where others find it
+        state = reduce(DataFrame.unionAll, done, moved)
+        now = moved.where("up is not null").count()
         if now == left:  # messages whose parents go round in a circle
             break
-        left = now
+        left, done = now, [*done, moved.where("up is null")][:-1]
     return state.where("up is null"), levels
 
 
