@@ -151,7 +151,9 @@ def scan_licenses(
         if not any(values.values()):
             continue
         met = reduce(lambda a, b: a | b, [_band(s).isin(values[k]) for k, s in enumerate(salts)])
-        hits = windows.where(met).select("id", "text_hash", "at", bands.alias("b")).select("id", "text_hash", "at", "b.*")
+        # a lambda keeps this filter out of whole-stage code, where all bands would be one method too long to be
+        # compiled; by itself it is cut into short ones
+        hits = windows.where(F.exists(F.array("h0"), lambda h: h.isNotNull()) & met).select("id", "text_hash", "at", bands.alias("b")).select("id", "text_hash", "at", "b.*")
         found.append(hits.join(F.broadcast(index), ["band", "key"]).select("id", "text_hash", "at", "template").distinct())
     if not found:
         found = [windows.limit(0).select("id", "text_hash", "at", F.lit("").alias("template"))]
