@@ -19,22 +19,21 @@ HIGH_ENTROPY = 4.5
 LITERAL = r"['\"]([A-Za-z0-9+/=_\-]{20,})['\"]"
 
 
-def _skipped(line: Column, starts: tuple[str, ...], marks: tuple[str, ...]) -> Column:
-    bare = F.trim(F.regexp_replace(line, r"^\s+", ""))
-    skip = bare == ""
+def _skipped(line: Column, starts: tuple[str, ...], marks: str) -> Column:
+    bare = F.regexp_replace(line, r"^\s+", "")
+    skip = (bare == "") | line.rlike(marks)
     for s in starts:
         skip = skip | bare.startswith(s)
-    for m in marks:
-        skip = skip | line.contains(m)
     return skip
 
 
 def skip_script_line(line: Column) -> Column:
-    return _skipped(line, ("//", "*", "/*", "<!--"), ("# nosec", "// nosec", "// remy: nosec"))
+    """Blank lines, comments, and lines marked ``nosec``, with or without a tool's name before it."""
+    return _skipped(line, ("//", "*", "/*", "<!--"), r"# nosec|// (?:\w+: )?nosec")
 
 
 def skip_code_line(line: Column) -> Column:
-    return _skipped(line, ("#", "//", "*", "<!--", "--"), ("# nosec", "# remy: nosec", "# noqa"))
+    return _skipped(line, ("#", "//", "*", "<!--", "--"), r"# (?:\w+: )?nosec|# noqa")
 
 
 def match_rules(lines: DataFrame, rules: list[Rule], scanner: str, describe=None) -> DataFrame:
