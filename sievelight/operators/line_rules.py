@@ -36,14 +36,14 @@ def skip_code_line(line: Column) -> Column:
     return _skipped(line, ("#", "//", "*", "<!--", "--"), r"# (?:\w+: )?nosec|# noqa")
 
 
-def match_rules(lines: DataFrame, rules: list[Rule], scanner: str, describe=None) -> DataFrame:
-    """Findings of all rules in one pass over ``path, line_no, line``.
+def match_rules(lines: DataFrame, rules: list[Rule], scanner: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of all rules in one pass over ``path, line_no, line``, with the columns ``keep``.
 
     The patterns are literals, so each is compiled once a task; a line makes
     rows only for the rules that it matches.
     """
     met = F.array(*[F.when(F.col("line").rlike(r.pattern), F.lit(k)) for k, r in enumerate(rules)])
-    hits = lines.select("path", "line_no", "line", F.explode(F.filter(met, lambda k: k.isNotNull())).alias("k"))
+    hits = lines.select("path", "line_no", "line", *keep, F.explode(F.filter(met, lambda k: k.isNotNull())).alias("k"))
     table = F.array(*[
         F.struct(*[F.lit(v).alias(n) for n, v in (("name", r.name), ("title", r.title), ("severity", r.severity), ("cwe", r.cwe), ("advice", r.advice), ("confidence", float(r.confidence)))])
         for r in rules
@@ -55,7 +55,7 @@ def match_rules(lines: DataFrame, rules: list[Rule], scanner: str, describe=None
         scanner, rule("severity"), rule("cwe"), F.col("path"), F.col("line_no"), rule("name"), rule("title"), text, rule("advice"),
         rule("confidence"), F.rtrim(F.col("line")), F.col("line_no").cast("long") * 1000 + F.col("k"),
     )
-    return hits.select(*columns)
+    return hits.select(*columns, *keep)
 
 
 def js_findings(files: DataFrame, rules: list[Rule] = JS) -> DataFrame:
