@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm.arrow import slices
 from sievelight.llm.hashing import U64, WORD_BASE, batches, mix, word_hashes
 from sievelight.plans.sizing import without
 from sievelight.plans.staging import stage
@@ -130,7 +131,7 @@ class SeedTable:
 def _scan(table, batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds: SeedTable = table.value
     names = ["id", "text_hash", "item", "doc_start", "item_start", "n_words", "n_equal"]
-    for batch in batches_:
+    for batch in slices(batches_, 1):
         texts = batch.column(1).to_pylist()
         rows = []
         for a, b in batches(texts):

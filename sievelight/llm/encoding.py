@@ -19,7 +19,7 @@ from functools import lru_cache
 
 #: Pieces, and words without their punctuation, that a worker remembers;
 #: beyond them the library is asked again.
-CACHE_PIECES, CACHE_WORDS = 250_000, 900_000
+CACHE_PIECES, CACHE_WORDS = 120_000, 300_000
 #: A piece longer than this is not remembered.
 LONGEST_CACHED = 40
 #: Letters up to here belong to one class in every version of Unicode.

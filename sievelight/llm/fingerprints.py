@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm.arrow import slices
 from sievelight.llm.hashing import batches, shingle_hashes, word_hashes
 
 EXACT_LANES, SKETCH_LANES = 16, 256
@@ -101,7 +102,7 @@ def _compare(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def rows():
-        for batch in batches_:
+        for batch in slices(batches_, 3):
             yield from zip(*(c.to_pylist() for c in batch.columns))
 
     for row in rows():

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm.arrow import slices
 from sievelight.llm.components import connected_components
 from sievelight.llm.hashing import U64, WORD_BASE, batches, mix, shingle_hashes, word_hashes
 from sievelight.plans.sizing import BROADCAST_ROWS, without
@@ -88,7 +89,7 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 
 
 def _digest(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches_:
+    for batch in slices(batches_, 1):
         texts = batch.column(1).to_pylist()
         h1, h2 = np.zeros(len(texts), U64), np.zeros(len(texts), U64)
         n_words = np.zeros(len(texts), np.int64)
@@ -127,7 +128,7 @@ def _compare(threshold: float, batches_: Iterator[pa.RecordBatch]) -> Iterator[p
             for out, new in zip(made, _block(held, threshold, cross=block[1] != block[2])):
                 out.extend(new)
 
-    for batch in batches_:
+    for batch in slices(batches_, 6):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:3] != block:
                 flush()

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm.arrow import slices
 from sievelight.llm.hashing import batches, word_hashes
 from sievelight.plans.sizing import join_groups, without
 from sievelight.plans.staging import stage
@@ -110,7 +111,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2.0, rounds: int = 25) ->
 
 
 def _featurise(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches_:
+    for batch in slices(batches_, 0):
         x = features(batch.column(0).to_pylist())
         flat = pa.array(x.reshape(-1))
         offsets = pa.array(np.arange(0, x.size + 1, FEATURES), pa.int32())
@@ -131,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _score(model, batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     classifier: Classifier = model.value
-    for batch in batches_:
+    for batch in slices(batches_, 1):
         logits = classifier.logits(features(batch.column(1).to_pylist()))
         columns = [batch.column(0), *batch.columns[2:], pa.array(logits)]
         yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "host", "path", "logit"])

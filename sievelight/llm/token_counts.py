@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm.arrow import slices
 from sievelight.llm.encoding import encoder, tokenizer_version
 from sievelight.plans.sizing import BROADCAST_ROWS
 from sievelight.plans.staging import discard, new_path, stage
@@ -28,7 +29,7 @@ def _normalised(text: str):
 
 def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
-    for batch in batches:
+    for batch in slices(batches, 1):
         n = [enc.count(t.as_py()) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 

@@ -28,6 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelight.llm.arrow import slices
 from sievelight.llm.encoding import encoder
 
 #: Frames are checked by CRC-32, rotated and shifted so that a checksum of
@@ -72,7 +73,7 @@ def _encode(path: str, end_id: int | None, edges: list[int], batches: Iterator[p
 
     enc = encoder(path)
     end = b"" if end_id is None else int(end_id).to_bytes(enc.width, "little")
-    for batch in batches:
+    for batch in slices(batches, 1):
         ids = batch.column(0)
         # a null id sorts before all others
         at = np.searchsorted(edges, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
@@ -96,7 +97,7 @@ def _write(folder: str, width: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         done.append((bucket, name, len(index), start, offset))
         out = None
 
-    for batch in batches:
+    for batch in slices(batches, 2):
         for b, key, ids in zip(*(c.to_pylist() for c in batch.columns)):
             if b != bucket or out is None:
                 close()
