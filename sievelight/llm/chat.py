@@ -59,29 +59,29 @@ def _doubled(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     ancestor so far above them.
     """
     # seen: messages from this one up to, but not with, `up`
-    state = nodes.select("uid", "up", F.lit(1).alias("seen"), F.col("score").alias("sum"), F.col("uid").alias("top"))
-    state = stage(state, "chat-pointers")
-    levels, left, done = [], state.where("up is not null").count(), []
+    open_ = nodes.select("uid", "up", F.lit(1).alias("seen"), F.col("score").alias("sum"), F.col("uid").alias("top"))
+    open_ = stage(open_, "chat-pointers")
+    done, levels, left = [], [], open_.where("up is not null").count()
     while left:
-        levels.append(state)
-        done.append(state.where("up is null"))
-        far = state.select(F.col("uid").alias("up"), F.col("up").alias("up2"), F.col("seen").alias("seen2"), F.col("sum").alias("sum2"), F.col("top").alias("top2"))
-        # only messages that have not come to their root go on
-        moved = state.where("up is not null").join(far, "up").select(
+        levels.append(open_)
+        # messages that have come to their root stay out, where the others find them
+        far = reduce(DataFrame.unionAll, done, open_).select(
+            F.col("uid").alias("up"), F.col("up").alias("up2"), F.col("seen").alias("seen2"), F.col("sum").alias("sum2"), F.col("top").alias("top2")
+        )
+        done.append(open_.where("up is null"))
+        open_ = open_.where("up is not null").join(far, "up").select(
             "uid",
             F.col("up2").alias("up"),
             (F.col("seen") + F.col("seen2")).alias("seen"),
             (F.col("sum") + F.col("sum2")).alias("sum"),
             F.col("top2").alias("top"),
         )
-        moved = stage(moved, "chat-pointers")
-        # a message that is through stays where others find it
-        state = reduce(DataFrame.unionAll, done, moved)
-        now = moved.where("up is not null").count()
+        open_ = stage(open_, "chat-pointers")
+        now = open_.where("up is not null").count()
         if now == left:  # messages whose parents go round in a circle
             break
-        left, done = now, [*done, moved.where("up is null")][:-1]
-    return state.where("up is null"), levels
+        left = now
+    return reduce(DataFrame.unionAll, done, open_.where("up is null")), levels
 
 
 def choose_paths(rows: DataFrame, top: int = 1) -> DataFrame:

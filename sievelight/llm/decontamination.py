@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from sievelight.llm.arrow import slices
 from sievelight.llm.hashing import U64, WORD_BASE, batches, mix, word_hashes
-from sievelight.plans.sizing import without
-from sievelight.plans.staging import stage
+from sievelight.llm.rows import drop_rows
 
 #: Positions that count.  Together they find every stretch of LEAST words with two substitutions.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -203,6 +202,4 @@ def find_overlaps(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap with no benchmark item."""
-    found = find_overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
-    return without(docs, stage(found, "contaminated"), same)
+    return drop_rows(docs, find_overlaps(docs, benchmark, id_col, text_col), id_col, text_col)

@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.llm.rows import fresh, same_row
 from sievelight.plans.sizing import join_groups
 from sievelight.plans.staging import stage
 
@@ -128,10 +129,7 @@ def mix_sources(
 
 def apply_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as the mix holds it."""
-    copies = mix.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("copies").alias("__copies"))
-    copies = copies.where("__copies > 0")
-    keyed = docs.withColumn("__text", F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
-    joined = keyed.join(copies, same)
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return repeated.select(*docs.columns)
+    i, h, n, copy = (fresh(docs, s) for s in ("__id", "__hash", "__copies", "__copy"))
+    copies = mix.groupBy(F.col(id_col).alias(i), F.col("text_hash").alias(h)).agg(F.max("copies").cast("int").alias(n))
+    joined = docs.join(copies.where(F.col(n) > 0), same_row(docs, id_col, text_col, i, h))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns])

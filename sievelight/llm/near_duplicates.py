@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from sievelight.llm.arrow import slices
 from sievelight.llm.components import connected_components
 from sievelight.llm.hashing import U64, WORD_BASE, batches, mix, shingle_hashes, word_hashes
+from sievelight.llm.rows import drop_rows, fresh
 from sievelight.plans.sizing import BROADCAST_ROWS, without
 from sievelight.plans.staging import discard, stage
 
@@ -303,22 +304,21 @@ def keep_first_of_class(docs: DataFrame, found: DataFrame, id_col: str = "doc_id
     """One row of ``docs`` for each class of ``found``: that of the least id.
 
     Of several texts with that id the one of the least hash stays, and of
-    repeated rows one.  Documents without words are all kept, once.
+    repeated rows one.
     """
-    found = stage(found.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), "class_id"), "near-found")
-    first = found.where(F.col("__id").eqNullSafe(F.col("class_id"))).groupBy("__id")
-    first = first.agg(F.min("__hash").alias("__first"), F.count("*").alias("__n"))
+    found = stage(found.select(F.col(id_col).alias("id"), "text_hash", "class_id"), "near-found")
+    first = found.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id")
+    first = first.agg(F.min("text_hash").alias("first"), F.count("*").alias("n")).withColumnRenamed("id", "first_id")
     first = stage(first, "near-first")
     # all rows but the first of each class go
-    f = first.withColumnRenamed("__id", "__first_id")
-    same = F.col("__id").eqNullSafe(F.col("__first_id")) & (F.col("__hash") == F.col("__first"))
-    gone = stage(found.join(f, same, "left_anti").select("__id", "__hash").distinct(), "near-gone")
-    row = docs[id_col].cast("long").eqNullSafe(F.col("__id"))
-    kept = without(docs, gone, row & (F.xxhash64(docs[text_col]) == F.col("__hash")))
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first"))
+    gone = found.join(first, same, "left_anti").select(F.col("id").alias(id_col), "text_hash")
+    kept = drop_rows(docs, gone, id_col, text_col)
     # repeated rows among those that stay
-    twice = stage(first.where("__n > 1").select("__id"), "near-twice")
+    i = fresh(docs, "__id")
+    twice = stage(first.where("n > 1").select(F.col("first_id").alias(i)), "near-twice")
     if twice.isEmpty():
         return kept
-    row = kept[id_col].cast("long").eqNullSafe(F.col("__id"))
+    row = kept[id_col].eqNullSafe(F.col(i))
     once = kept.join(twice, row, "left_semi").dropDuplicates([id_col])
     return without(kept, twice, row).unionByName(once)

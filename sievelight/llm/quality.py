@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from sievelight.llm.arrow import slices
 from sievelight.llm.hashing import batches, word_hashes
-from sievelight.plans.sizing import join_groups, without
+from sievelight.llm.rows import drop_rows
+from sievelight.plans.sizing import join_groups
 from sievelight.plans.staging import stage
 
 #: Labelled documents that the classifier is fitted on, at most: those with the least hash of their id.
@@ -213,6 +214,4 @@ def score_documents(
 
 def keep_good(docs: DataFrame, scores: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not rejected."""
-    out = scores.where("not keep").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
-    return without(docs, stage(out, "rejected"), same)
+    return drop_rows(docs, scores.where("not keep"), id_col, text_col)
