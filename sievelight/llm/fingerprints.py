@@ -157,7 +157,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ranges = max(LEAST_RANGES, rows.rdd.getNumPartitions() // PARTITIONS_A_RANGE)
     # a null id counts as below all others
     order = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
-    edges = rows.select("id").stat.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
+    # no quantile is asked for where one range takes all
+    edges = rows.select("id").stat.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
     edges = sorted({int(e) for e in edges}, reverse=True)
     # ranges count up as ids go down: the number of edges above the id
     above = F.lit(len(edges)) - F.size(F.filter(F.lit(sorted(edges)).cast("array<long>"), lambda e: e <= order)) if edges else F.lit(0)

@@ -136,7 +136,8 @@ def write_records(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if files is None:
         files = max(LEAST_FILES, rows.rdd.getNumPartitions() // PARTITIONS_A_FILE)
-    edges = rows.select("id").stat.approxQuantile("id", [i / files for i in range(1, files)], 0.2 / files)
+    # no quantile is asked for where one file takes all
+    edges = rows.select("id").stat.approxQuantile("id", [i / files for i in range(1, files)], 0.2 / files) if files > 1 else []
     edges = sorted({int(e) for e in edges})
     width = encoder(tokenizer_path).width
     fs, root = _filesystem(folder)
