@@ -37,14 +37,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = mark
         # large star: greater neighbours go to the least one
         pairs = _both(edges)
-        large = pairs.where("b > a").join(_least(pairs), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # minima are written out, so that joins read both sides from exchanges and can split a hub
+        least = stage(_least(pairs), "least")
+        large = pairs.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stage(large.where("a <> b").distinct(), "large-star")
         # small star: a node and its lesser neighbours go to the least one
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        discard(least)
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         small = stage(small, "small-star")
-        discard(edges, large)
+        discard(edges, large, least)
         edges = small
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
