@@ -117,4 +117,18 @@ s AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
        CAST(formatted AS BIGINT) AS formatted_chars FROM s"""
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1_SQL, "op8_licenses": licenses.oracle()}
+_OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[\x00-/:-@\[-^`{-\x7f]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [hash(w)]
+             ELSE list_distinct([hash(w[k : k + 4]) FOR k IN range(1, len(w) - 3)]) END AS s FROM d),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS m FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 5 * m >= 4 * (nx + ny - m)),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x),
+k AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY w) END AS copy_id FROM d),
+n AS (SELECT x AS doc_id, count(*) AS n FROM l GROUP BY x)
+SELECT doc_id, class_id, copy_id, coalesce(n.n, 0) AS n_links FROM c JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op1_chat": _OP1_SQL, "op8_licenses": licenses.oracle()}
