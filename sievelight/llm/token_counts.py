@@ -86,6 +86,8 @@ def count_tokens(
         kept = texts.join(missing.select("digest"), "digest", "left_semi")
         once = kept.groupBy("digest").agg(F.first("text").alias("text"))
     fresh = once.select("digest", "text").mapInArrow(partial(_count, tokenizer_path), "digest binary, n_tokens long")
+    # rows that are equal in id and text cannot be told apart above, and are stored once
+    fresh = fresh.dropDuplicates(["digest"])
     fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache_path)
     discard(missing, spare)
 
