@@ -76,7 +76,7 @@ def count_tokens(
 
     # rows that need no encoding: their digest is stored, or another row has it
     spare = seen.join(missing, "digest", "left").where(
-        F.col("first_id").isNull() & F.col("id").isNotNull() | ~F.col("first_id").eqNullSafe(F.col("id"))
+        F.col("n").isNull() | ~F.col("first_id").eqNullSafe(F.col("id"))
     )
     spare = stage(spare.select(F.col("id").alias("spare_id"), F.col("digest").alias("spare_digest")).distinct(), "spare-rows")
     if spare.limit(broadcast_rows + 1).count() <= broadcast_rows:
