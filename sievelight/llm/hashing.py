@@ -16,7 +16,7 @@ U64 = np.uint64
 #: Odd multipliers of the byte and the word polynomials.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 #: Texts are hashed together up to so many bytes; a longer one is hashed alone.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
