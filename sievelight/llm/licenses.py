@@ -1,15 +1,13 @@
-"""License scans by MinHash bands over overlapping text windows.
-
-Texts and templates are cut into overlapping windows of eight words, four
-words apart in texts and one apart in templates, so a window holds the four
-shingles of five words that begin in its first half and every shingle lies in
-one.  A window has one MinHash value a band.  A window that shares one of its
-four shingles with a template's window of one shares a band with it with
-probability 1 - (3/4)**32 = 0.9999, and one that shares all of them always.
-
-Windows retrieve templates by these bands.  Each retrieved template is then
-verified around its window: the share of its shingles that occur there must
-reach the threshold.  Everything is a DataFrame expression.
+"""License scans by the shingles of overlapping text windows.
+
+Texts are cut into overlapping windows of eight words, four words apart, so a
+window holds the four shingles of five words that begin in its first half and
+every shingle lies in one.
+
+A window retrieves each template that has one of its four shingles, so none
+is missed.  Each retrieved template is then verified around its window: the
+share of its shingles that occur there must reach the threshold.  Everything
+is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -22,9 +20,9 @@ from pyspark.sql import functions as F
 from sievelight.plans.sizing import BROADCAST_ROWS
 from sievelight.plans.staging import stage
 
-SHINGLE, STRIDE, BANDS = 5, 4, 32
+SHINGLE, STRIDE = 5, 4
 THRESHOLD = 0.8
-#: Template windows searched at a time.
+#: Template words searched at a time.
 BLOCK_WINDOWS = 4_000
 
 # Well-known wordings of public licenses.
@@ -64,7 +62,7 @@ def _shingle(words: Column, at: Column) -> Column:
     return F.when(at + SHINGLE <= F.size(words), F.xxhash64(*[F.get(words, at + k) for k in range(SHINGLE)]))
 
 
-def _windows(words: Column, step: int) -> Column:
+def _windows(words: Column) -> Column:
     """Structs ``at, h0 ... h3``; a missing shingle repeats the first one."""
     last = F.size(words) - SHINGLE
 
@@ -73,21 +71,7 @@ def _windows(words: Column, step: int) -> Column:
         rest = [F.coalesce(_shingle(words, at + k), first).alias(f"h{k}") for k in range(1, STRIDE)]
         return F.struct(at.alias("at"), first.alias("h0"), *rest)
 
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), window))
-
-
-def _salts() -> list[int]:
-    """A fixed constant for each band."""
-    x, out = 0x243F6A8885A308D3, []
-    for _ in range(BANDS):
-        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-        out.append(x - (1 << 63))
-    return out
-
-
-def _band(salt: int) -> Column:
-    """MinHash value: the least of the window's shingle hashes under one bijection."""
-    return F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(salt)) for k in range(STRIDE)])
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(STRIDE)), window))
 
 
 def template_table(spark) -> DataFrame:
@@ -112,7 +96,7 @@ def scan_licenses(
     occurs.  Null texts and those of under five words have no rows; null and
     repeated ids keep theirs, rows that are equal in all give one result;
     empty tables give no rows; other columns are ignored.  Templates are
-    searched in blocks of ``block_windows`` windows, each against all texts.
+    searched in blocks of ``block_windows`` words, each against all texts.
     """
     spark = docs.sparkSession
     known = templates.select("template", "license", words_of(F.coalesce("text", F.lit(""))).alias("words"))
@@ -126,10 +110,10 @@ def scan_licenses(
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     # words are a column of their own: inside the windows' lambda they would be made again for each word
     windows = rows.select("id", "text_hash", words_of(F.col("text")).alias("words"))
-    windows = windows.select("id", "text_hash", F.explode(_windows(F.col("words"), STRIDE)).alias("w"))
+    windows = windows.select("id", "text_hash", F.explode(_windows(F.col("words"))).alias("w"))
     windows = windows.select("id", "text_hash", "w.*")
 
-    salts = _salts()
+    held_by = [F.col(f"h{k}") for k in range(STRIDE)]
     found = []
     sizes = known.select("template", F.col("n_words")).orderBy("template").toLocalIterator()
     blocks, held = [[]], 0
@@ -141,20 +125,13 @@ def scan_licenses(
         held += t.n_words
     for block in blocks:
         part = known.where(F.col("template").isin(block)) if block else known.limit(0)
-        index = part.select("template", F.explode(_windows(F.col("words"), 1)).alias("w")).select("template", "w.*")
-        bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), _band(s).alias("key")) for k, s in enumerate(salts)]))
-        index = index.select("template", bands.alias("b")).select("template", "b.*").distinct()
-        index = stage(index, "license-index")
-        values: dict[int, list[int]] = {k: [] for k in range(BANDS)}
-        for r in index.select("band", "key").distinct().collect():  # at most BANDS * block_windows
-            values[r.band].append(r.key)
-        if not any(values.values()):
+        index = stage(part.select("template", F.explode("shingles").alias("key")), "license-index")
+        keys = [r.key for r in index.select("key").distinct().collect()]  # at most block_windows, or those of one template
+        if not keys:
             continue
-        met = reduce(lambda a, b: a | b, [_band(s).isin(values[k]) for k, s in enumerate(salts)])
-        # a lambda keeps this filter out of whole-stage code, where all bands would be one method too long to be
-        # compiled; by itself it is cut into short ones
-        hits = windows.where(F.exists(F.array("h0"), lambda h: h.isNotNull()) & met).select("id", "text_hash", "at", bands.alias("b")).select("id", "text_hash", "at", "b.*")
-        found.append(hits.join(F.broadcast(index), ["band", "key"]).select("id", "text_hash", "at", "template").distinct())
+        met = reduce(lambda a, b: a | b, [h.isin(keys) for h in held_by])
+        hits = windows.where(met).select("id", "text_hash", "at", F.explode(F.array_distinct(F.array(*held_by))).alias("key"))
+        found.append(hits.join(F.broadcast(index), "key").select("id", "text_hash", "at", "template").distinct())
     if not found:
         found = [windows.limit(0).select("id", "text_hash", "at", F.lit("").alias("template"))]
     hits = stage(reduce(DataFrame.unionAll, found), "license-hits")
@@ -180,7 +157,7 @@ def scan_licenses(
 
 
 def oracle(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same in SQL over ``documents``, without bands: every window that shares a shingle is verified."""
+    """The same in SQL over ``documents``: every window that shares a shingle is verified."""
     quoted = ", ".join("({})".format(", ".join("'" + v.replace("'", "''") + "'" for v in t)) for t in templates)
     words = "[x FOR x IN string_split_regex(lower({}), '[\\x00-/:-@\\[-^`{{-\\x7f]+') IF x <> '']"
     return f"""

@@ -269,6 +269,18 @@ def test_licenses(spark, odd_docs, no_docs):
         licenses.scan_licenses(docs, spark.createDataFrame([("t", "l", "too short")], "template string, license string, text string"))
 
 
+def test_short_licenses_in_any_surroundings(spark):
+    """A template of one shingle lies in one window only, whatever stands beside it."""
+    templates = licenses.template_table(spark)
+    word = lambda k: F.concat(F.lit("u"), F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(100_000)))
+    line = F.when(F.col("doc_id") % 2 == 0, "Released under the MIT License").otherwise("Licensed under CC BY 4.0")
+    before = F.slice(F.array(*[word(k) for k in range(8)]), F.lit(1), (F.col("doc_id") % 8).cast("int") + 1)
+    text = F.concat_ws(" ", before, line, *[word(k) for k in range(8, 16)])
+    docs = spark.range(8000).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("text"))
+    found = licenses.scan_licenses(docs, templates).groupBy("template").count().collect()
+    assert {r["template"]: r["count"] for r in found} == {"mit-line": 4000, "cc-by-line": 4000}
+
+
 # ---- quality
 
 
