@@ -190,6 +190,37 @@ def test_masks_miss_no_two_substitutions():
             assert any(not any(at + p in wrong for p in mask) for at in range(n - mask[-1]))
 
 
+def test_masks_miss_no_stretch():
+    """All placements of all substitutions in 13 to 25 words; longer stretches hold one of these."""
+    from itertools import combinations
+
+    for n in range(decontamination.LEAST, 2 * decontamination.LEAST):
+        wrong = np.array([sum(1 << p for p in c) for c in combinations(range(n), int(n * 0.2 + 1e-9))])
+        missed = np.ones(len(wrong), bool)
+        for mask in decontamination.masks_for(n):
+            for at in range(n - mask[-1]):
+                missed &= (wrong & sum(1 << at + p for p in mask)) != 0
+        assert not missed.any(), n
+    # other limits have one plain run, for the length that needs the shortest
+    ((*run,),) = decontamination.masks_for(40, 13, 0.79)
+    for n in range(13, 26):
+        wrong = int(n * 0.21 + 1e-9)
+        assert (n - wrong) > (len(run) - 1) * (wrong + 1)
+
+
+def test_every_placement_is_found():
+    from itertools import combinations
+
+    for n, k in ((13, 2), (15, 3), (16, 3), (17, 3)):
+        item = [f"v{i}" for i in range(n)]
+        table = decontamination.SeedTable([7], [" ".join(item)])
+        for wrong in combinations(range(1, n - 1), k):
+            text = ["before", "it", *("x" if i in wrong else w for i, w in enumerate(item)), "after"]
+            words, _ = decontamination.word_hashes([" ".join(text)])
+            place, _, at = table.hits(words)
+            assert set((place - at).tolist()) == {2} and table.overlap(words, 0, 2) == (2, 0, n, n - k), wrong
+
+
 def test_overlaps(spark, odd_docs, no_docs):
     rng = np.random.default_rng(8)
     words = lambda n: [f"v{k}" for k in rng.integers(0, 4000, n)]
