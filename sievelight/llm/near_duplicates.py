@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sievelight.llm.arrow import slices
 from sievelight.llm.components import connected_components
 from sievelight.llm.hashing import U64, WORD_BASE, batches, mix, shingle_hashes, word_hashes
-from sievelight.llm.rows import drop_rows, fresh
+from sievelight.llm.rows import drop_rows, fresh, same_row
 from sievelight.plans.sizing import BROADCAST_ROWS, without
 from sievelight.plans.staging import discard, stage
 
@@ -230,12 +230,14 @@ def near_duplicates(
     block: int = BLOCK,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """``id_col, text_hash, class_id, copy_id, n_links`` for every row of ``docs``.
+    """``id_col, text_hash, class_id, copy_id, n_links, class_key`` for every row of ``docs``.
 
     ``class_id`` is the least id of the documents that links connect with
     this one, ``copy_id`` the least id of those with the same words, and
     ``n_links`` the number of other documents whose similarity is at least
-    ``threshold``.  ``text_hash`` tells rows with one id apart.
+    ``threshold``.  ``text_hash`` tells rows with one id apart.  Classes may
+    have one ``class_id`` if ids repeat or are null; ``class_key`` tells them
+    apart (its values hold for this result only).
 
     A document without words (null, empty, only marks) has no links and the
     class of its own id.  Repeated rows are copies of each other; null ids
@@ -290,35 +292,41 @@ def near_duplicates(
     whole = classes.join(joined, "rep", "left").join(links, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = whole.groupBy("component").agg(F.min(F.struct("copy_id")).alias("least")).select("component", F.col("least.copy_id").alias("class_id"))
     whole = whole.join(least, "component").select(
-        "h1", "h2", "class_id", "copy_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    )
+        "h1", "h2", "class_id", "copy_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.col("component").alias("class_key"),
+    )
     whole = stage(whole, "near-whole")
-    rows = base.select("id", "text_hash", "n_words", "h1", "h2")
+    # keys are the least uid of a class, and a row without words is a class of its own
+    rows = base.select("id", "text_hash", "n_words", "h1", "h2", "uid")
     with_words = rows.where("n_words > 0").join(whole, ["h1", "h2"])
-    without = rows.where("n_words = 0").select("*", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
-    columns = [F.col("id").alias(id_col), "text_hash", "class_id", "copy_id", "n_links"]
+    without = rows.where("n_words = 0").select("*", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.col("uid").alias("class_key"))
+    columns = [F.col("id").alias(id_col), "text_hash", "class_id", "copy_id", "n_links", "class_key"]
     return with_words.select(*columns).unionAll(without.select(*columns))
 
 
 def keep_first_of_class(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each class of ``found``: that of the least id.
 
-    Of several texts with that id the one of the least hash stays, and of
-    repeated rows one.
+    Null ids count as the least, and of several texts with that id the one of
+    the least hash stays.  Classes that share an id, or have none, keep a row
+    each.  Of repeated rows (equal in id and text, with words or without) one
+    stays.
     """
-    found = stage(found.select(F.col(id_col).alias("id"), "text_hash", "class_id"), "near-found")
-    first = found.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id")
-    first = first.agg(F.min("text_hash").alias("first"), F.count("*").alias("n")).withColumnRenamed("id", "first_id")
-    first = stage(first, "near-first")
+    found = found.select(F.col(id_col).alias("id"), "text_hash", "class_key")
+    # rows equal in id and text are one from here on
+    rows = found.groupBy("id", "text_hash").agg(F.min("class_key").alias("class_key"), F.count("*").alias("n"))
+    rows = stage(rows, "near-found")
+    first = rows.groupBy("class_key").agg(F.min(F.struct("id", "text_hash", "n")).alias("first"))
+    i, h = fresh(docs, "__id"), fresh(docs, "__hash")
+    first = stage(first.select(F.col("first.id").alias(i), F.col("first.text_hash").alias(h), F.col("first.n").alias("n")), "near-first")
     # all rows but the first of each class go
-    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first"))
-    gone = found.join(first, same, "left_anti").select(F.col("id").alias(id_col), "text_hash")
+    same = F.col("id").eqNullSafe(F.col(i)) & (F.col("text_hash") == F.col(h))
+    gone = rows.join(first, same, "left_anti").select(F.col("id").alias(id_col), "text_hash")
     kept = drop_rows(docs, gone, id_col, text_col)
     # repeated rows among those that stay
-    i = fresh(docs, "__id")
-    twice = stage(first.where("n > 1").select(F.col("first_id").alias(i)), "near-twice")
+    twice = stage(first.where("n > 1").select(i, h), "near-twice")
     if twice.isEmpty():
         return kept
-    row = kept[id_col].eqNullSafe(F.col(i))
-    once = kept.join(twice, row, "left_semi").dropDuplicates([id_col])
+    row = same_row(kept, id_col, text_col, i, h)
+    once = kept.join(twice, row, "left_semi").dropDuplicates([id_col, text_col])
     return without(kept, twice, row).unionByName(once)

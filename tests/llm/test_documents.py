@@ -168,6 +168,26 @@ def test_keep_one_of_odd_rows(odd_docs):
     assert ids.count(1) == 1 and 2 not in ids and 3 not in ids and 6 in ids and 7 not in ids
 
 
+def test_keep_one_of_each_class_that_shares_an_id(spark):
+    text = lambda k, n=30: " ".join(f"t{k}w{i}" for i in range(n))
+    near = text(1, 40)
+    rows = [
+        (None, text(2)), (None, text(3)), (None, text(4)), (None, text(4)),  # unrelated texts without an id, one of them twice
+        (5, text(5)), (5, text(6)), (6, text(6)),  # two texts with one id, one of them with a copy
+        (None, None), (None, ""), (7, None), (7, "!!!"), (8, "..."),  # no words, so no links
+        (9, near), (9, near + " more"), (10, near + " last"), (11, text(7)), (11, text(7)),
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __id string")
+    for broadcast_rows in (0, 1000):
+        kept = near_duplicates.keep_first_of_class(docs, near_duplicates.near_duplicates(docs, broadcast_rows=broadcast_rows))
+        assert kept.columns == docs.columns
+        got = rows_of(kept.select("doc_id", "text"))
+        group = [r for r in got if r[0] == 9]
+        assert len(group) == 1 and group[0][1] in (near, near + " more")
+        want = [(None, text(2)), (None, text(3)), (None, text(4)), (5, text(5)), (5, text(6)), (None, None), (None, ""), (7, None), (7, "!!!"), (8, "..."), (11, text(7))]
+        assert [r for r in got if r[0] != 9] == sorted(want, key=repr)
+
+
 def test_least_matches():
     for n in near_duplicates.STEPS:
         m = near_duplicates.least_matches(n, 0.8, 1e-6)
