@@ -136,6 +136,12 @@ def extended_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.extended_findings(corpora.files(spark, corpora.AUTH, corpora.PYTHON), pack).select(*COLUMNS)
 
 
+@query(rules_sql(rules.EXTENDED, corpora.files_sql(corpora.AUTH, corpora.PYTHON), "extended", f"NOT regexp_matches(line, {literal(CODE_SKIP)})"))
+def extended_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole opt-in pack on the inline files."""
+    return line_rules.extended_findings(corpora.files(spark, corpora.AUTH, corpora.PYTHON)).select(*COLUMNS)
+
+
 _ROUTES = f"""WITH f AS ({corpora.files_sql(corpora.ROUTES)}),{LINES},
 p AS (SELECT * FROM {values([(k, n, p, "([^" in p) for k, (n, p) in enumerate(api_surface.ROUTES)], "ord, framework, pattern, has")}),
 m AS (SELECT n.path, line_no, line, ord, framework, l.l,

@@ -105,17 +105,26 @@ SECRETS = _rules("secrets", [
     ("SEC1l-11", "Heroku API Key", r"(?i)heroku.{0,20}[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "HIGH", 798, .85, "Rotate the key."),
 ])
 
+def _lacks(word: str) -> str:
+    """RE2 for a rest of line without ``word``, whose first letter stands in it once."""
+    first = word[0]
+    begun = [word[1:k] for k in range(1, len(word))]
+    again = "|".join(b + first for b in begun)
+    off = "|".join(f"{b}[^{first}{word[len(b) + 1]}]" for b in begun)
+    return f"(?:[^{first}]|{first}(?:{again})*(?:{off}))*(?:{first}(?:{again})*(?:{'|'.join(begun)}))?$"
+
+
 # Rules that exist as documentation only; off unless asked for.
 EXTENDED = _rules("extended", [
     ("PY001", "Unsafe eval() with dynamic argument", r"eval\s*\([^)]+[a-zA-Z_]", "HIGH", 78, None, "Evaluate literals only."),
-    ("PY002", "Unsafe exec() with dynamic argument", r"exec\s*\(\s*(?![\'\"]{1}[^\'\"]*[\'\"]{1}\s*\))", "HIGH", 78, None, "Do not build code from text."),
+    ("PY002", "Unsafe exec() with dynamic argument", r"exec\s*\(\s*(?![\'\"]{1}[^\'\"]*[\'\"]{1}\s*\))", "HIGH", 78, None, "Do not build code from text.", r"exec\s*\((?:[^'\"]|$|['\"][^'\"]*(?:$|['\"]\s*(?:[^\s)]|$)))"),
     ("PY003", "pickle.loads on potentially untrusted data", r"pickle\.loads?\s*\(", "HIGH", 502, None, "Use a data format."),
     ("PY004", "subprocess with shell=True", r"subprocess\.\w+\s*\([^)]*shell\s*=\s*True", "CRITICAL", 78, None, "Pass a list of arguments."),
     ("PY005", "SQL injection via string formatting", r"\.execute\s*\(\s*['\"].*%[sd].*['\"]|\.execute\s*\(\s*f['\"]", "HIGH", 89, None, "Bind parameters."),
     ("PY006", "Use of random for security tokens", r"random\.(?:random|randint|choice|token_hex)\s*\(", "MEDIUM", 338, None, "Use the secrets module."),
     ("PY007", "MD5 hash usage", r"hashlib\.md5\s*\(", "MEDIUM", 327, None, "Use SHA-256."),
     ("PY008", "SHA1 hash usage", r"hashlib\.sha1\s*\(", "MEDIUM", 327, None, "Use SHA-256."),
-    ("PY009", "yaml.load without SafeLoader", r"yaml\.load\s*\(\s*(?!.*SafeLoader)", "HIGH", 502, None, "Use safe_load."),
+    ("PY009", "yaml.load without SafeLoader", r"yaml\.load\s*\(\s*(?!.*SafeLoader)", "HIGH", 502, None, "Use safe_load.", r"yaml\.load\s*\(" + _lacks("SafeLoader")),
     ("PY010", "Broad exception silently swallowed", r"except\s*(?:Exception|:)\s*:\s*\n\s*pass", "LOW", 390, None, "Handle or log it."),
     ("PY011", "assert used for security check", r"assert\s+.*(?:auth|admin|permission|role|user|access|login)", "MEDIUM", 617, None, "Raise an error."),
     ("PY012", "Hardcoded credential in variable", r"(?:password|secret|api_key|token)\s*=\s*['\"][^'\"]{8,}['\"]", "HIGH", 798, None, "Read it from the environment."),
@@ -129,7 +138,7 @@ EXTENDED = _rules("extended", [
     ("AY5", "Authorization role from request body", r"request\.(?:json|form|POST|data)\s*(?:\[|\.get\s*\(\s*)['\"](?:role|is_admin|admin|permission)['\"]", "HIGH", 602, None, "Load roles from the session."),
     ("AY6", "IDOR — object lookup by client-supplied ID", r"\.objects\.get\s*\(\s*(?:id|pk)\s*=|\.find_by_id\s*\(|\.findById\s*\(", "HIGH", 639, None, "Filter by owner."),
     ("AY7", "Hardcoded admin backdoor password comparison", r"(?:password|passwd)\s*==\s*['\"](?:admin|password|123456|root|letmein|test)['\"]", "CRITICAL", 798, None, "Remove it."),
-    ("AY8", "Insecure cookie without Secure/HttpOnly flags", r"set_cookie\s*\([^)]+\)|res\.cookie\s*\([^)]*(?!secure|httpOnly)[^)]*\)", "MEDIUM", 614, None, "Set the flags."),
+    ("AY8", "Insecure cookie without Secure/HttpOnly flags", r"set_cookie\s*\([^)]+\)|res\.cookie\s*\([^)]*(?!secure|httpOnly)[^)]*\)", "MEDIUM", 614, None, "Set the flags.", r"set_cookie\s*\([^)]+\)|res\.cookie\s*\([^)]*\)"),
 ], .75)
 
 

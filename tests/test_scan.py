@@ -1,15 +1,18 @@
 """Sources, engines, reports and streams on small inputs."""
 
 import json
+import random
+import re
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sievelight.functions.text import entropy, is_high_entropy, lines_of, mask_key, redact
 from sievelight.model import FINDING_COLUMNS, severity_order
 from sievelight.operators import line_rules, merge, model_review, python_ast
-from sievelight.plans import corpora, report
+from sievelight.plans import corpora, queries, report
 from sievelight.plans.scan import Options, as_files, engines, register_engine, scan
 from sievelight.sources import tree
 from sievelight.sources.rules import EXTENDED, SECRETS, load_yaml_rules
@@ -71,6 +74,35 @@ def test_look_ahead_rules_of_the_extended_pack(spark):
     assert ("yaml.load without SafeLoader", 3) in lines
 
 
+def test_extended_pack_has_every_rule(spark):
+    found = {(f.file, f.line_start, f.title) for f in queries.QUERIES["extended_pack"](spark, "").collect()}
+    files = {**corpora.AUTH, **corpora.PYTHON}
+    skip = re.compile(queries.CODE_SKIP)
+    lines = [(path, k, line) for path, text in files.items() for k, line in enumerate(text.split("\n"), 1) if not skip.search(line)]
+    assert found == {(path, k, r.title) for path, k, line in lines for r in EXTENDED if re.search(r.pattern, line)}
+    ahead = {(k, title.split()[0] if "yaml" in title else title.split()[1]) for path, k, title in found if path == "p/a.py" and ("exec()" in title or "yaml" in title)}
+    assert ahead == {(4, "exec()"), (15, "yaml.load"), (17, "yaml.load")}
+
+
+def test_re2_twins_of_the_extended_pack():
+    """The twins need no look-ahead and match the same lines."""
+    rng = random.Random(4)
+    parts = {
+        "PY002": ["exec", "exec(", "(", ")", " ", "'", '"', "a", "f"],
+        "PY009": ["yaml.load(", "yaml.load (", "SafeLoader", "S", "Safe", "SafeLoade", "SafeLoad", "r", " ", ")", "a", "aS"],
+        "AY8": ["res.cookie(", "set_cookie(", "secure", "httpOnly", ")", " ", "a"],
+    }
+    ahead = [r for r in EXTENDED if "(?!" in r.pattern]
+    assert {r.code for r in ahead} == set(parts)
+    con = duckdb.connect()
+    for r in ahead:
+        lines = ["".join(rng.choices(parts[r.code], k=rng.randint(1, 12))) for _ in range(20_000)]
+        same = con.execute("SELECT [regexp_matches(x, $2) FOR x IN $1]", [lines, r.re2]).fetchone()[0]
+        want = [bool(re.search(r.pattern, x)) for x in lines]
+        assert same == want and 0.05 < sum(want) / len(want) < 0.95
+
+
+
 def test_syntax_tree_corners():
     assert python_ast.scan("def broken(:") == [] and python_ast.scan("") == [] and python_ast.scan("\0") == []
     assert python_ast.scan("(" * 5000 + ")" * 5000) == []
