@@ -115,21 +115,20 @@ class SeedTable:
         same = text[lo + shift : hi + shift] == own[lo:hi]
         points = np.where(same, 1 - self.identity, -self.identity)
         sums = np.concatenate([[0.0], np.cumsum(points)])
-        lowest = np.minimum.accumulate(sums)
-        start = np.searchsorted(-lowest, -(sums + 1e-9), side="left")
-        length = np.arange(len(sums)) - start
-        end = int(np.argmax(length))
-        begin = int(start[end])
         # a stretch neither begins nor ends with a word that differs
-        agree = np.flatnonzero(same[begin:end])
-        if not len(agree):
+        lowest = np.minimum.accumulate(np.where(same, sums[:-1], np.inf))
+        ends = np.flatnonzero(same) + 1
+        if not len(ends):
             return None
-        begin, end = begin + int(agree[0]), begin + int(agree[-1]) + 1
+        starts = np.searchsorted(-lowest, -(sums[ends] + 1e-9), side="left")
+        longest = int(np.argmax(ends - starts))
+        begin, end = int(starts[longest]), int(ends[longest])
         if end - begin < need:
             # trimmed below the least length: the untrimmed stretch of a short item counts
-            if not (len(own) <= self.least and len(agree) >= self.identity * len(own) - 1e-9):
+            if not (len(own) <= self.least and len(ends) >= self.identity * len(own) - 1e-9):
                 return None
-        return lo + shift + begin, lo + begin, end - begin, len(agree)
+            begin, end = int(ends[0]) - 1, int(ends[-1])
+        return lo + shift + begin, lo + begin, end - begin, int(same[begin:end].sum())
 
 
 def _scan(table, batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

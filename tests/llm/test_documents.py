@@ -241,6 +241,29 @@ def test_every_placement_is_found():
             assert set((place - at).tolist()) == {2} and table.overlap(words, 0, 2) == (2, 0, n, n - k), wrong
 
 
+def test_longest_stretch_between_equal_words():
+    def brute(same, least=13):
+        n = len(same)
+        if n <= least:
+            return n if 5 * sum(same) >= 4 * n else 0
+        return max([e - b for b in range(n) for e in range(b + least, n + 1) if same[b] and same[e - 1] and 5 * sum(same[b:e]) >= 4 * (e - b)], default=0)
+
+    rng = np.random.default_rng(12)
+    masks = [[0] * 3 + [1] * 12 + [0] * 8 + [1] * 6 + [0] * 2 + [1] * 5, [1] * 12 + [0] * 9 + [1] * 6 + [0] * 2 + [1] * 5 + [0]]
+    masks += [(rng.random(n) < p).astype(int).tolist() for n in (5, 13, 16, 25, 40) for p in (0.6, 0.75, 0.85) for _ in range(40)]
+    for same in masks:
+        item = [f"v{i}" for i in range(len(same))]
+        table = decontamination.SeedTable([0], [" ".join(item)])
+        words, _ = decontamination.word_hashes([" ".join(w if s else "x" for w, s in zip(item, same))])
+        found, want = table.overlap(words, 0, 0), brute(same)
+        assert (found is not None) == (want > 0), same
+        if found and len(same) > 13:
+            start, at, n, equal = found
+            assert start == at and (n, equal) == (want, sum(same[at : at + n])), same
+        elif found:
+            assert found[3] == sum(same)
+
+
 def test_overlaps(spark, odd_docs, no_docs):
     rng = np.random.default_rng(8)
     words = lambda n: [f"v{k}" for k in rng.integers(0, 4000, n)]
