@@ -15,11 +15,15 @@ SKIP_DIRS = (
 )
 # Languages by suffix.
 LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".java": "java",
-    ".rs": "rust", ".rb": "ruby", ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp",
+    ".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript", ".go": "go", ".java": "java",
+    ".rs": "rust", ".rb": "ruby", ".php": "php", ".c": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".h": "c", ".hpp": "cpp",
     ".cs": "csharp", ".kt": "kotlin", ".swift": "swift", ".yml": "yaml", ".yaml": "yaml", ".json": "json", ".toml": "toml",
     ".sh": "bash", ".bash": "bash", ".zsh": "bash", ".tf": "hcl",
 }
+# Names of languages for highlighting; any other suffix is text.
+HIGHLIGHTED = (
+    ".py", ".js", ".ts", ".jsx", ".tsx", ".go", ".java", ".rs", ".rb", ".php", ".c", ".cpp", ".sh", ".yml", ".yaml", ".json", ".toml",
+)
 #: Paths of tests, which the route and access engines leave out.
 TEST_PATH = r"(?i)(?:^|[\\/])(?:tests?|spec|__tests__)[\\/]|(?:_test|\.test|\.spec|_spec)\.[a-z]+$"
 
@@ -38,6 +42,13 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(known, F.lower(suffix_of(path)))
 
 
+def highlight_language(path: str) -> str:
+    """The language that a snippet of a file is shown in."""
+    found = re.search(r".(\.[^./]+)$", path)
+    end = found[1].lower() if found else ""
+    return LANGUAGES[end] if end in HIGHLIGHTED else "text"
+
+
 def in_skipped_dir(path: Column) -> Column:
     parts = F.split(path, "/")
     return F.arrays_overlap(parts, F.array(*map(F.lit, SKIP_DIRS))) | F.exists(parts, lambda p: p.endswith(".egg-info"))

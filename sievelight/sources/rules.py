@@ -6,7 +6,42 @@ for engines that cannot.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import cached_property
+from re import _constants as op
+from re import _parser as parser
+
+
+def _literals(items) -> tuple[str, ...] | None:
+    """Texts of which every match holds at least one; None if there is no such set."""
+    found, run = [], ""
+
+    def close() -> None:
+        nonlocal run
+        if run:
+            found.append((run,))
+        run = ""
+
+    for kind, value in items:
+        if kind is op.LITERAL and chr(value).isascii():
+            run += chr(value)
+            continue
+        close()
+        if kind is op.SUBPATTERN and not value[1]:
+            inner = _literals(value[-1])
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0]:
+            inner = _literals(value[2])
+        elif kind is op.BRANCH:
+            parts = [_literals(p) for p in value[1]]
+            inner = None if None in parts else tuple(dict.fromkeys(x for p in parts for x in p))
+        else:
+            inner = None
+        if inner:
+            found.append(inner)
+    close()
+    # the set whose shortest text is longest lets the least through
+    return max(found, key=lambda s: (min(map(len, s)), -len(s)), default=None)
 
 
 @dataclass(frozen=True)
@@ -21,6 +56,16 @@ class Rule:
     confidence: float
     re2: str | None = None
 
+    @cached_property
+    def needs(self) -> tuple[tuple[str, bool], ...] | None:
+        """Texts of which a line must hold one to match; None if any line may match.
+
+        Where the flag says so, the text is in lower case and any case counts.
+        """
+        parsed = parser.parse(self.pattern)
+        found, any_case = _literals(parsed), bool(parsed.state.flags & re.IGNORECASE)
+        return found and tuple((x.lower() if any_case else x, any_case) for x in found)
+
     @property
     def title(self) -> str:
         return f"[{self.code}] {self.name}" if self.pack in ("js", "js-extra") else self.name
@@ -144,8 +189,6 @@ EXTENDED = _rules("extended", [
 
 def load_yaml_rules(path: str) -> list[Rule]:
     """Rules of a YAML file on the driver; a bad rule is left out, an unreadable file gives none."""
-    import re
-
     try:
         import yaml
 
