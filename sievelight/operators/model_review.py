@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from sievelight.model import SEVERITIES, finding
 #: Characters of a file that are sent; the rest is cut and marked.
 MOST_CHARS = 8000
 CUT = "\n... [truncated]"
+#: Calls that a task has open at a time, and the seconds that it waits for one.
+AT_ONCE, SECONDS = 10, 120.0
 SKIPPED = ("yaml", "json", "toml", "markdown")
 ITEM = (
     "array<struct<severity: string, line_start: string, line_end: string, title: string, description: string, "
@@ -33,19 +36,24 @@ def prompts(files: DataFrame) -> DataFrame:
     return sent.select("path", F.concat(F.lit(ASK + "\n\nFile: "), F.col("path"), F.lit("\n"), text).alias("prompt"))
 
 
-def _ask(complete: Callable[[str], str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        answers = []
-        for prompt in batch.column(1).to_pylist():
-            try:
-                answers.append(complete(prompt))
-            except Exception:  # noqa: BLE001  one file without an answer is no reason to lose the others
-                answers.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string())], names=["path", "response"])
+def _ask(complete: Callable[[str], str], at_once: int, seconds: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pool = ThreadPoolExecutor(at_once)
+    try:
+        for batch in batches:
+            answers = []
+            for call in [pool.submit(complete, p) for p in batch.column(1).to_pylist()]:
+                try:
+                    answers.append(call.result(seconds))
+                except Exception:  # noqa: BLE001  one file without an answer is no reason to lose the others
+                    answers.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string())], names=["path", "response"])
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
 
 
-def responses(files: DataFrame, complete: Callable[[str], str]) -> DataFrame:
-    return prompts(files).mapInArrow(partial(_ask, complete), "path string, response string")
+def responses(files: DataFrame, complete: Callable[[str], str], at_once: int = AT_ONCE, seconds: float = SECONDS) -> DataFrame:
+    """``path, response``; null where the client fails, or answers later than ``seconds`` after its turn."""
+    return prompts(files).mapInArrow(partial(_ask, complete, at_once, seconds), "path string, response string")
 
 
 def parse_responses(answers: DataFrame) -> DataFrame:

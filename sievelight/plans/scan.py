@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.paths import language_of, name_of, suffix_of
+from sievelight.model import FINDING, ORDINAL
 from sievelight.operators import api_surface, dependencies, line_rules, model_review, python_ast
 from sievelight.operators.merge import merge
 from sievelight.plans.report import Report
+from sievelight.plans.staging import stage
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,7 @@ def engines(options: Options) -> dict[str, Callable[[DataFrame], DataFrame]]:
         found["llm_logic"] = lambda f: model_review.parse_responses(model_review.responses(f, options.complete))
     if options.extended:
         found["extended"] = line_rules.extended_findings
+        found["route_packs"] = api_surface.pack_findings
     return found | _extra
 
 
@@ -71,13 +74,20 @@ def as_files(table: DataFrame, path, content: str) -> DataFrame:
 
 
 def scan(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """Findings of all chosen engines, each once, as grave as asked for."""
-    return merge([engine(files) for engine in engines(options).values()], options.min_severity)
+    """Findings of all chosen engines, each once, as grave as asked for; none where no engine is chosen."""
+    parts = [engine(files) for engine in engines(options).values()]
+    if not parts:
+        return files.sparkSession.createDataFrame([], f"{FINDING}, {ORDINAL} long")
+    return merge(parts, options.min_severity)
 
 
 def report(files: DataFrame, target: str, options: Options = Options(), now: datetime | None = None) -> Report:
-    """Scan and count; without files no engine is named."""
+    """Scan and count; without files no engine is named.
+
+    The findings are written once, and whatever is made of the report reads
+    them back; the duration is that of the scan.
+    """
     began = time.time()
     n = files.count()
-    findings = scan(files, options)
+    findings = stage(scan(files, options), "findings")
     return Report(uuid.uuid4().hex[:8], target, now or datetime.now(), findings, n, time.time() - began, list(engines(options)) if n else [])

@@ -22,12 +22,16 @@ _staged: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests in local mode) one temporary folder
-    per application is made and remembered.
+    Where the setting is absent in local mode (tests) one temporary folder
+    per application is made and remembered.  On a cluster its absence is an
+    error: every executor would write into a folder of its own.
     """
     found = spark.conf.get(SHARED_DIR_CONF, None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"{SHARED_DIR_CONF} must name a folder that driver and executors share (master {master})")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="sievelight-")
