@@ -34,6 +34,24 @@ SENSITIVE = r"(?i)(?:auth|login|register|signup|password|reset|forgot|verify|upl
 PUBLIC = r"(?i)^/?(?:$|health/?|status/?|docs/?|redoc/?|openapi/?|metrics/?|favicon|robots\.txt|static/)"
 OPEN_ORIGIN = r"(?i)CORS\s*\([^)]*origins?\s*=\s*['\"]?\*['\"]?|Access-Control-Allow-Origin['\"]?\s*[=:]\s*['\"]?\*"
 CREDENTIALS = r"(?i)credentials\s*=\s*True|allow_credentials\s*=\s*true"
+# The opt-in packs, by framework: the route pattern, signs of a login, signs of a limiter.
+PACKS = (
+    ("flask", r"@(?:app|blueprint|bp|\w+)\.route\s*\(\s*['\"]([^'\"]+)['\"]",
+     ("@login_required", "@token_required", "@requires_auth", "@jwt_required", "@permission_required"), ("@limiter.", "flask_limiter", "slowapi")),
+    ("fastapi", r"@(?:router|app)\.(?:get|post|put|delete|patch|options|head)\s*\(\s*['\"]([^'\"]+)['\"]",
+     ("Depends(get_current_user", "Depends(verify_token", "Depends(authenticate", "oauth2_scheme"), ("slowapi", "RateLimit", "rate_limit")),
+    ("express", r"(?:app|router)\.(?:get|post|put|delete|patch|use)\s*\(\s*['\"`]([^'\"`]+)['\"`]",
+     ("requireAuth", "isAuthenticated", "verifyToken", "passport.authenticate", "authMiddleware", "authenticate("), ("express-rate-limit", "rateLimit(", "limiter(")),
+    ("nestjs", r"@(?:Get|Post|Put|Delete|Patch|Options)\s*\(\s*['\"]?([^'\")\s]+)?['\"]?\s*\)",
+     ("@UseGuards(AuthGuard", "@UseGuards(JwtAuthGuard", "@UseGuards(RolesGuard"), ("@Throttle(", "@UseGuards(ThrottlerGuard")),
+    ("django", r"(?:path|re_path)\s*\(\s*['\"]([^'\"]+)['\"]",
+     ("@login_required", "@permission_required", "IsAuthenticated", "TokenAuthentication"), ("throttle_classes", "django-ratelimit", "@ratelimit(")),
+)
+PACK_SENSITIVE = (
+    "auth", "login", "logout", "register", "signup", "password", "reset", "forgot", "verify", "upload", "webhook", "otp", "token", "mfa", "admin",
+    "pay", "checkout", "billing",
+)
+PACK_PUBLIC = ("/health", "/status", "/docs", "/redoc", "/openapi", "/metrics", "/favicon", "/robots.txt", "/static/", "/assets/")
 LANGUAGES = ("python", "javascript", "typescript")
 NAMES = ("urls.py", "routes.js", "routes.ts", "router.js", "router.ts")
 #: Lines before a route that may guard it; as many follow, with the route's own.
@@ -121,3 +139,38 @@ def open_origins(files: DataFrame) -> DataFrame:
 def api_findings(files: DataFrame) -> DataFrame:
     found = routes(files)
     return missing_auth(found).unionByName(missing_rate_limit(found)).unionByName(open_origins(files))
+
+
+def pack_routes(files: DataFrame) -> DataFrame:
+    """``path, line_no, line, ord, framework, route, context, guarded, limited, sensitive, public`` by the opt-in packs.
+
+    A framework's routes are judged by its own signs alone, which are plain
+    texts looked for around the route.
+    """
+    any_route = lambda line: reduce(lambda a, b: a | b, [line.rlike(p) for _, p, *_ in PACKS])
+    holds = lambda text, signs: reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in signs])
+    rows = _matching(_source(files), any_route).withColumn("context", _around(WINDOW)).drop("lines")
+    named = F.array(*[
+        F.when(F.col("line").rlike(p), F.struct(
+            F.lit(k).alias("ord"), F.lit(name).alias("framework"), F.regexp_extract("line", p, 1).alias("route"),
+            holds(F.col("context"), auth).alias("guarded"), holds(F.col("context"), limit).alias("limited"),
+        ))
+        for k, (name, p, auth, limit) in enumerate(PACKS)
+    ])
+    rows = rows.withColumn("found", F.explode(F.filter(named, lambda x: x.isNotNull())))
+    rows = rows.select("path", (F.col("pos") + 1).alias("line_no"), "line", "context", "found.*")
+    rows = rows.withColumn("route", F.when(F.col("route") == "", "/").otherwise(F.col("route")))
+    public = reduce(lambda a, b: a | b, [F.col("route").startswith(p) for p in PACK_PUBLIC])
+    return rows.withColumns({"sensitive": holds(F.lower("route"), PACK_SENSITIVE), "public": public})
+
+
+def pack_findings(files: DataFrame) -> DataFrame:
+    """Findings of the opt-in packs: routes that nothing guards, and sensitive ones that nothing limits."""
+    found = pack_routes(files)
+    open_ = _first(found.where(~F.col("guarded") & ~F.col("public")).select("path", "line_no", "line", "ord", "framework", "route"))
+    free = _first(found.where(F.col("sensitive") & ~F.col("limited")).select("path", "line_no", "line", "ord", "framework", "route"))
+    return _route_finding(
+        open_, "pack_auth_", "No Login Check of the Framework on Route", "HIGH", "CWE-306", "shows no login check nearby.", "Require a login on every route that is not public.", 0.70, 0,
+    ).unionByName(_route_finding(
+        free, "pack_limit_", "No Limiter of the Framework on Sensitive Route", "MEDIUM", "CWE-770", "shows no limiter nearby.", "Limit how often the route may be called.", 0.80, 1,
+    ))

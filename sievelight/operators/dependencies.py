@@ -1,4 +1,9 @@
-"""Known vulnerabilities of dependencies, from a table of advisories."""
+"""Known vulnerabilities of dependencies, from a table of advisories.
+
+An advisory names one version, or (its ``version`` is null) lists versions and
+ranges.  A range is a row of events, each the version from which a package is
+affected, the one that mends it, or the last one affected.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.model import finding
+from sievelight.plans.sizing import join_groups
 from sievelight.sources.manifests import dependencies
 
 ADVISORY = (
     "ecosystem string, package string, version string, ord int, id string, aliases array<string>, summary string, "
-    "severity array<struct<score: string>>, affected array<struct<ranges: array<struct<events: array<struct<introduced: string, fixed: string>>>>>>"
+    "severity array<struct<score: string>>, affected array<struct<ranges: array<struct<events: array<"
+    "struct<introduced: string, fixed: string, last_affected: string>>>>, versions: array<string>>>"
 )
+#: Numbers of a release that are compared.
+RELEASE_PARTS = 6
+# What a version is called before its release, and after it.
+PHASES = (("post|rev", 1), ("rc|pre|preview|c", -1), ("beta|b", -2), ("alpha|a", -3), ("dev|snapshot", -4))
 #: Versions that name no version.
 UNPINNED = ("", "*", "latest")
 
@@ -33,11 +44,58 @@ def fix_version(affected: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(fixes, lambda x: x.isNotNull()), F.lit(-1)), F.lit("latest"))
 
 
+def version_key(version: Column) -> Column:
+    """An array that orders versions: the release's numbers, the phase, the phase's own numbers.
+
+    ``v`` in front, build metadata and trailing zeros do not count.  What
+    stands behind the release and has no known name comes before it in
+    ecosystems that write it with a hyphen, so it counts as an alpha.
+    """
+    bare = F.regexp_replace(F.lower(F.trim(version)), r"^v|\+.*$", "")
+    release = F.regexp_extract(bare, r"^(?:\d+!)?(\d+(?:\.\d+)*)", 1)
+    rest = F.substr(bare, F.length(F.regexp_extract(bare, r"^(?:\d+!)?\d+(?:\.\d+)*", 0)) + 1)
+    # numbers too long for a long are dates or hashes; their first digits order them well enough
+    numbers = lambda text: F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda n: F.substring(n, 1, 18).cast("long"))
+    padded = F.slice(F.concat(numbers(release), F.array_repeat(F.lit(0).cast("long"), RELEASE_PARTS)), 1, RELEASE_PARTS)
+    phase = F.when(F.regexp_replace(rest, r"[.\-_]", "") == "", 0)
+    for names, place in PHASES:
+        phase = phase.when(rest.rlike(rf"^[.\-_]?(?:{names})(?![a-z])"), place)
+    return F.concat(padded, F.array(phase.otherwise(-3).cast("long")), numbers(rest))
+
+
+def in_ranges(version: Column, affected: Column) -> Column:
+    """Whether a version is listed, or lies in one of the ranges."""
+    own = version_key(version)
+    listed = F.exists(F.coalesce(affected, F.array()), lambda a: F.array_contains(F.coalesce(a["versions"], F.array().cast("array<string>")), version))
+    ranges = F.flatten(F.transform(F.coalesce(affected, F.array()), lambda a: F.coalesce(a["ranges"], F.array())))
+
+    def event(e: Column) -> Column:
+        # of equal versions the one that opens a range comes last: it opens a new one
+        kind = F.when(e["introduced"].isNotNull(), 2).when(e["fixed"].isNotNull(), 1).otherwise(0)
+        at = F.coalesce(e["introduced"], e["fixed"], e["last_affected"])
+        return F.struct(F.when(at == "0", F.array(F.lit(-1).cast("long"))).otherwise(version_key(at)).alias("key"), kind.alias("kind"))
+
+    def open_(state: Column, e: Column) -> Column:
+        after = F.when(e["kind"] == 2, F.lit(True)).otherwise(F.lit(False))
+        reached = F.when(e["kind"] == 0, e["key"] < own).otherwise(e["key"] <= own)
+        return F.when(reached, after).otherwise(state)
+
+    inside = lambda r: F.aggregate(F.array_sort(F.transform(F.coalesce(r["events"], F.array()), event)), F.lit(False), open_)
+    return listed | F.exists(ranges, inside)
+
+
 def matched(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Each dependency with its advisories, in order; unpinned ones have none."""
+    """Each dependency with its advisories, in order; unpinned ones have none.
+
+    The advisories are counted and broadcast up to a limit.  Beyond it each
+    package is dealt to several tasks, since one package may stand in a third
+    of all manifests.
+    """
     deps = deps.where(~F.col("version").isin(*UNPINNED))
-    known = advisories.withColumnRenamed("ord", "vuln_ord")
-    out = deps.join(known, ["ecosystem", "package", "version"])
+    known = advisories.withColumnsRenamed({"ord": "vuln_ord", "version": "vuln_version"})
+    out = join_groups(deps, known, ["ecosystem", "package"], F.col("path"))
+    exact = F.col("vuln_version") == F.col("version")
+    out = out.where(F.when(F.col("vuln_version").isNotNull(), exact).otherwise(in_ranges(F.col("version"), F.col("affected"))))
     aliases = F.coalesce("aliases", F.array().cast("array<string>"))
     cves = F.filter(aliases, lambda a: a.startswith("CVE-"))
     own = F.col("id").startswith("CVE-") & ~F.array_contains(cves, F.col("id"))

@@ -16,8 +16,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelight.functions.paths import highlight_language, relative
 from sievelight.functions.text import redact
-from sievelight.model import FINDING, FINDING_COLUMNS, SEVERITIES, severity_order
+from sievelight.model import FINDING, FINDING_COLUMNS, ORDINAL, SEVERITIES, severity_order
 from sievelight.operators.merge import emitted, ordered, public
 
 #: Characters of a fix prompt, and those kept free besides its fixed parts.
@@ -48,6 +49,17 @@ def by_file(findings: DataFrame) -> DataFrame:
     return findings.groupBy("file").agg(F.count("*").alias("findings"), F.min(severity_order(F.col("severity"))).cast("int").alias("worst"))
 
 
+def file_findings(findings: DataFrame) -> DataFrame:
+    """``file, n, findings``: the findings of each file as an array, the gravest first.
+
+    A file's findings meet in one row; they are bounded by the file's own
+    lines and rules.  Ties stay in the order in which they were made.
+    """
+    order = [severity_order(F.col("severity")).alias("s"), *[c.alias(f"o{k}") for k, c in enumerate(emitted())]]
+    listed = F.sort_array(F.collect_list(F.struct(*order, F.struct(*FINDING_COLUMNS).alias("f"))))
+    return findings.groupBy("file").agg(listed.alias("l")).select("file", F.size("l").alias("n"), F.transform("l", lambda x: x["f"]).alias("findings"))
+
+
 def cube(findings: DataFrame) -> DataFrame:
     """Counts by engine, severity and weakness, with all subtotals."""
     return findings.cube("scanner", "severity", "cwe").agg(F.count("*").alias("findings"))
@@ -113,14 +125,57 @@ def write_json(report: Report, path: str, indent: int = 2) -> None:
         f.write("]\n}" if first else f"\n{pad}]\n}}")
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame | None:
-    """Findings of a written report; None if there is none that can be read."""
-    schema = f"findings array<struct<{', '.join(f'{c.split()[0]}: {c.split()[1]}' for c in FINDING.split(', '))}>>"
+#: What a finding of a cached report cannot be without.
+REQUIRED = ("id", "scanner", "file", "line_start", "line_end", "title", "description", "remediation_hint")
+
+
+def read_report(spark: SparkSession, path: str) -> Report | None:
+    """A written report; None if there is none, or one that is damaged or lacks what a finding needs.
+
+    The document is read once here, so whatever is wrong with it shows here.
+    A missing time is now, a missing confidence is 0.5.
+    """
+    item = ", ".join("{}: {}".format(*c.split()) for c in FINDING.split(", "))
+    schema = (
+        "scan_id string, target_path string, timestamp string, duration_seconds double, files_scanned int, "
+        f"scanners_used array<string>, findings array<struct<{item}>>"
+    )
     try:
         rows = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
-        return rows.select(F.posexplode("findings").alias("emit_ord", "f")).select("f.*", F.col("emit_ord").cast("long"))
+        findings = rows.select(F.posexplode("findings").alias(ORDINAL, "f")).select("f.*", F.col(ORDINAL).cast("long"))
+        findings = findings.withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
+        sound = F.col("severity").isin(*SEVERITIES)
+        for c in REQUIRED:
+            sound = sound & F.col(c).isNotNull()
+        head = rows.drop("findings").first()
+        if head is None or not findings.where(~F.coalesce(sound, F.lit(False))).isEmpty():
+            return None
+        when = datetime.fromisoformat(head.timestamp) if head.timestamp else datetime.now()
     except Exception:  # noqa: BLE001  whatever is wrong with it, there is no cached report
         return None
+    return Report(head.scan_id or "cached", head.target_path or ".", when, findings, head.files_scanned or 0, head.duration_seconds or 0.0, head.scanners_used or [])
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame | None:
+    """Findings of a written report; None if there is none that can be read."""
+    found = read_report(spark, path)
+    return found.findings if found else None
+
+
+def write_prompts_of(spark: SparkSession, path: str, folder: str) -> list[str]:
+    """Fix prompts of a written report; none if it cannot be read."""
+    found = read_report(spark, path)
+    return write_prompts(found, folder) if found else []
+
+
+def cache(report: Report, path: str) -> bool:
+    """Write the report for later prompts; whether that worked (a scan does not fail for want of a cache)."""
+    try:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        write_json(report, path)
+    except OSError:
+        return False
+    return True
 
 
 def blocks(findings: DataFrame) -> DataFrame:
@@ -208,9 +263,38 @@ def write_prompts(report: Report, folder: str) -> list[str]:
     return paths
 
 
-def terminal(report: Report) -> str:
-    """A table of the severities with bars."""
+def terminal_lines(report: Report) -> Iterator[str]:
+    """A table of the severities with bars, then every file with its findings, row by row.
+
+    Each finding has its severity, title and lines, its description, the
+    snippet with its language, and the hint.  Files stand in order of their
+    names relative to the target.
+    """
     n = summary(report.findings).first().asDict()
     top = max([n[s.lower()] for s in SEVERITIES]) or 1
-    rows = [f"{s:<9}{n[s.lower()]:>8}  {'█' * int(n[s.lower()] / top * 16)}" for s in SEVERITIES]
-    return "\n".join([*rows, f"{'TOTAL':<9}{n['total']:>8}"])
+    for s in SEVERITIES:
+        filled = int(n[s.lower()] / top * 16)
+        yield f"{s:<9}{n[s.lower()]:>8}  {'█' * filled}{'░' * (16 - filled)}"
+    yield f"{'TOTAL':<9}{n['total']:>8}"
+    yield f"{report.files_scanned} files scanned · {report.seconds:.2f}s · scanners: {', '.join(report.scanners)}"
+    if not n["total"]:
+        yield "No findings."
+        return
+    shown = report.findings.withColumn("shown", relative(F.col("file"), report.target))
+    order = ["shown", "file", severity_order(F.col("severity")), *emitted()]
+    last = None
+    for row in shown.orderBy(*order).toLocalIterator():
+        if row.file != last:
+            last = row.file
+            yield f"\n{row.shown}"
+        yield f"├─ [{row.severity}] {row.title}  (line {row.line_start}–{row.line_end})"
+        yield f"│    {row.description}"
+        if snippet := (row.code_snippet or "").strip():
+            yield f"│    ({highlight_language(row.file)})"
+            yield from (f"│      {line}" for line in snippet.splitlines())
+        if row.remediation_hint:
+            yield f"│    fix: {row.remediation_hint}"
+
+
+def terminal(report: Report) -> str:
+    return "\n".join(terminal_lines(report))

@@ -1,16 +1,36 @@
-"""Joins whose small side is counted before it is broadcast."""
+"""Joins whose small side is counted and weighed before it is broadcast."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of at most so many rows is broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: A side of at most so many rows and bytes is broadcast; beyond either the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Shares into which each key of the large side is dealt when the join is shuffled.
 SALTS = 64
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts by their length, nested values by that of their JSON."""
+    total = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.octet_length(F.to_json(F.struct(c))) + 16
+        else:
+            total = total + 8
+    return total
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> bool:
+    """Whether a table may be broadcast; at most ``rows`` + 1 of its rows are looked at."""
+    n, held = df.limit(rows + 1).select(_row_bytes(df).alias("b")).agg(F.count("*"), F.sum("b")).first()
+    return n <= rows and (held or 0) <= bytes_
+
+
 def join_groups(
     rows: DataFrame,
     groups: DataFrame,
@@ -20,10 +40,10 @@ def join_groups(
     broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``rows`` with ``groups`` (one row a key), safe for hot keys.
+    """Join ``rows`` with ``groups`` (one row a key, or few), safe for hot keys.
 
-    ``groups`` is counted.  Up to ``broadcast_rows`` it is broadcast, so
-    ``rows`` never moves.  A larger one is repeated once for each salt, and
+    ``groups`` is counted and weighed.  Up to ``broadcast_rows`` it is
+    broadcast, so ``rows`` never moves.  A larger one is repeated once for each salt, and
     ``rows`` is dealt by key and ``spread`` (any expression that differs
     within a key), so a key with a third of all rows meets ``salts`` tasks.
     Keys compare null-safe.  ``how`` is ``inner`` or ``left``.
@@ -33,7 +53,7 @@ def join_groups(
     for k in keys:
         same = same & rows[k].eqNullSafe(F.col(f"__g_{k}"))
     drop = [f"__g_{k}" for k in keys]
-    if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if is_small(right, broadcast_rows):
         return rows.join(F.broadcast(right), same, how).drop(*drop)
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = right.withColumn("__gsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -46,8 +66,7 @@ def join_groups(
 def without(rows: DataFrame, out: DataFrame, same: Column, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows that ``same`` pairs with no row of ``out``; ``rows`` stays where it is if ``out`` is small.
 
-    ``out`` is counted and broadcast up to ``broadcast_rows``, and joined by a
-    shuffle beyond them.
+    ``out`` is counted and weighed, broadcast up to ``broadcast_rows``, and
+    joined by a shuffle beyond them.
     """
-    few = out.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return rows.join(F.broadcast(out) if few else out, same, "left_anti")
+    return rows.join(F.broadcast(out) if is_small(out, broadcast_rows) else out, same, "left_anti")
