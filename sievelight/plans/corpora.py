@@ -115,6 +115,7 @@ self.api_key = "0123456789"
 token: str = "0123456789"
 """,
     "p/b.py": "def broken(:\n",
+    "p/d.py": 'eval(user_input)\nhashlib.sha1(b)\nname = tempfile.mktemp()\nresponse.set_cookie("a", b)\n',
     "p/c.js": "eval(x)\n",
 }
 #: What the rules find in PYTHON, derived by hand: path, first and last line, title, severity.
@@ -133,7 +134,25 @@ PYTHON_FOUND = (
     ("p/a.py", 22, 22, "`assert` Used for Security/Auth Check", "MEDIUM"),
     ("p/a.py", 23, 23, "Hardcoded Credential in Variable `db_password`", "HIGH"),
     ("p/a.py", 25, 25, "Hardcoded Credential in Variable `api_key`", "HIGH"),
+    ("p/d.py", 1, 1, "Dangerous use of `eval()` with dynamic argument", "HIGH"),
+    ("p/d.py", 2, 2, "Weak Hashing Algorithm — `hashlib.sha1`", "MEDIUM"),
 )
+#: One text for each secret format; the next line is a near miss.
+SECRET_LINES = {
+    "SEC1a": ("AKIA" + "A1" * 8, "AKIA" + "a1" * 8), "SEC1b": ("aws_secret_key = '" + "a1B2" * 10 + "'", "aws_secret_key = 'short'"),
+    "SEC1c": ("sk_live_" + "a" * 16, "sk_live_abc"), "SEC1d": ("sk_test_" + "a" * 16, "sk_test_x"), "SEC1e": ("ghp_" + "a" * 20, "ghp_short"),
+    "SEC1f": ("xoxb-1234567890", "xoxc-1234567890"), "SEC1g": ("postgres://u:p@h/db", "postgres://h/db"),
+    "SEC1h": ("-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----"), "SEC1i": ('token = "' + "a" * 16 + '"', 'token = "short"'),
+    "SEC1j": ("Bearer " + "a" * 16, "Bearer x"), "SEC1k": ("eyJa.b.c", "eyJa.b"), "SEC1l-1": ("SG." + "a" * 16 + "." + "b" * 16, "SG.a.b"),
+    "SEC1l-2": ("AC" + "0a" * 16, "AC12"), "SEC1l-3": ("key-" + "0a" * 16, "key-0a"), "SEC1l-4": ("AIza" + "a" * 35, "AIza1"),
+    "SEC1l-5": ("npm_" + "a" * 36, "npm_a"), "SEC1l-6": ("dckr_pat_" + "a" * 20, "dckr_pat_a"), "SEC1l-7": ("AccountKey=" + "a" * 40, "AccountKey=a"),
+    "SEC1l-8": ("shpat_" + "0a" * 16, "shpat_0a"), "SEC1l-9": ("dop_v1_" + "0a" * 32, "dop_v1_0a"), "SEC1l-10": ("pypi-" + "a" * 16, "pypi-a"),
+    "SEC1l-11": ("heroku key 01234567-89ab-cdef-0123-456789abcdef", "heroku 01234567"),
+}
+SECRET_FILES = {f"keys/{k}.txt": "\n".join(v) + "\n" for k, v in SECRET_LINES.items()} | {
+    "keys/random.txt": 'x = "aB3dE5fG7hJ9kL1mN2pQ4rS6tU8vW0xY"\ny = "' + "ab" * 20 + '"\nz = "short", "qW8eR2tY6uI0oP4aS9dF3gH7jK1lZ5xC"\n',
+}
+PAGES = {"pages/inline.js": "<script>\n  document.write(location.hash)\n  el.innerHTML = x\n  // eval(x)\n</script>\n"}
 MANIFESTS = {
     "a/requirements.txt": "# c\nflask==2.0.1\n-r other.txt\nrequests>=2.25.0,<3\nplain\n  pyyaml ~= 5.3.1 ; x\nextra[a]==1.0\n",
     "b/package.json": '{\n  "dependencies": {\n    "express": "^4.17.1",\n    "lodash": "~4.17.0"\n  },\n  "devDependencies": {"jest": ">=26.0.0"}\n}\n',
@@ -158,12 +177,29 @@ ADVISORIES = (
     ("npm", "lodash", "4.17.0", 0, "GHSA-2", ["CVE-2021-9", "CVE-2021-8", "CVE-2021-7"], "pollution", ["9.1"], ["4.17.21"]),
     ("PyPI", "any", "*", 0, "PYSEC-3", ["CVE-1-1"], "never", ["9.9"], []),
 )
+#: Advisories by range: ecosystem, package, id, listed versions, and the events of each range (introduced, fixed, last affected).
+RANGED = (
+    ("PyPI", "requests", "R-1", [], [[("2.0", None, None), (None, "2.25.0", None)], [("2.24.9", None, None), (None, "2.25.0.post1", None)]]),
+    ("npm", "express", "R-2", [], [[("4.17.1", None, None), (None, "4.18.0", None)]]),
+    ("npm", "jest", "R-3", [], [[("0", None, None), (None, "26.0.0", None)]]),
+    ("PyPI", "rich", "R-4", [], [[("0", None, None), (None, None, "10.0.0")]]),
+    ("Go", "github.com/a/b", "R-5", [], [[("1.2.4", None, None)]]),
+    ("Go", "golang.org/x/net", "R-6", [], [[("v0.1.0-rc1", None, None)]]),
+    ("PyPI", "pytest", "R-7", ["5.0", "5.1"], []),
+    ("npm", "lodash", "R-8", [], [[("4.17.0-beta", None, None), (None, "4.17", None), ("4.17.1", None, None)]]),
+    ("npm", "flask", "R-9", [], [[("0", None, None)]]),
+)
 #: What is reported, derived by hand: file, line, severity, title.
 ADVISORIES_FOUND = (
     ("a/requirements.txt", 2, "HIGH", "Vulnerable Dependency — flask 2.0.1 (CVE-2023-1)"),
     ("a/requirements.txt", 2, "LOW", "Vulnerable Dependency — flask 2.0.1 (CVE-2023-3)"),
     ("a/requirements.txt", 6, "HIGH", "Vulnerable Dependency — pyyaml 5.3.1 (PYSEC-2)"),
     ("b/package.json", 4, "CRITICAL", "Vulnerable Dependency — lodash 4.17.0 (CVE-2021-9, CVE-2021-8)"),
+    ("a/requirements.txt", 4, "HIGH", "Vulnerable Dependency — requests 2.25.0 (R-1)"),
+    ("b/package.json", 3, "HIGH", "Vulnerable Dependency — express 4.17.1 (R-2)"),
+    ("c/go.mod", 4, "HIGH", "Vulnerable Dependency — golang.org/x/net 0.1.0 (R-6)"),
+    ("d/Pipfile", 9, "HIGH", "Vulnerable Dependency — pytest 5.1 (R-7)"),
+    ("e/pyproject.toml", 4, "HIGH", "Vulnerable Dependency — rich 10.0.0 (R-4)"),
 )
 #: Paths with sizes, and whether they are kept under the globs ``*.log``, ``out/``, ``secret.txt``.
 GLOBS = ("*.log", "out/", "secret.txt")
@@ -195,9 +231,10 @@ def files(spark: SparkSession, *corpora: dict[str, str]) -> DataFrame:
 
 def advisories(spark: SparkSession) -> DataFrame:
     rows = [
-        (*a[:6], a[6], [(s,) for s in a[7]], [([([(None, f)],) for f in a[8]],)])
+        (*a[:6], a[6], [(s,) for s in a[7]], [([([(None, f, None)],) for f in a[8]], None)])
         for a in ADVISORIES
     ]
+    rows += [(e, p, None, 0, i, [], "by range", [], [([(events,) for events in ranges], versions)]) for e, p, i, versions, ranges in RANGED]
     from sievelight.operators.dependencies import ADVISORY
 
     return spark.createDataFrame(rows, ADVISORY)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions.paths import LANGUAGES, keep_files, language_of
-from sievelight.functions.text import entropy, explode_lines, is_high_entropy_base64, redact
-from sievelight.model import SEVERITIES
+from sievelight.functions.text import content_hash, entropy, explode_lines, is_high_entropy_base64, redact
+from sievelight.model import FINDING_COLUMNS, SEVERITIES, severity_order
 from sievelight.operators import api_surface, dependencies, line_rules, merge, model_review, python_ast
 from sievelight.plans import corpora, report
 from sievelight.plans.corpora import literal, values
@@ -39,9 +39,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages as scripts, so that the script rules read them."""
+    """Web pages as scripts, so that the script rules read them, and an inline page that they find faults in."""
     table = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return as_files(table, F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".js")), "html")
+    rows = as_files(table, F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".js")), "html")
+    return rows.unionByName(corpora.files(spark, corpora.PAGES))
 
 
 DOCUMENTS_SQL = "SELECT 'documents/' || doc_id || '.txt' AS path, text AS content FROM documents WHERE text IS NOT NULL"
@@ -58,15 +59,22 @@ CODE_SKIP = r"^\s*$|^\s*(?:#|//|\*|<!--|--)|# (?:\w+: )?nosec|# noqa"
 
 
 def rules_sql(pack: list[Rule], files: str, scanner: str, where: str = "TRUE") -> str:
-    rows = [(r.name, r.title, _AB4 if r.code == "AB4" else r.re2 or r.pattern, _UNLESS.get(r.code), r.severity, r.cwe, r.confidence) for r in pack]
-    table = values(rows, "name, title, pattern, unless, severity, cwe, confidence")
+    """Findings of a pack with all their columns."""
+    rows = [(r.name, r.title, _AB4 if r.code == "AB4" else r.re2 or r.pattern, _UNLESS.get(r.code), r.severity, r.cwe, r.advice, r.confidence) for r in pack]
+    table = values(rows, "name, title, pattern, unless, severity, cwe, advice, confidence")
     return f"""WITH f AS ({files}),{LINES},
 r AS (SELECT * FROM {table})
-SELECT substr(sha256(path || ':' || line_no || ':' || name || ':{scanner}'), 1, 12) AS id, path AS file, CAST(line_no AS INT) AS line_start,
-       title, severity, cwe, CAST(confidence AS DOUBLE) AS confidence
+SELECT substr(sha256(path || ':' || line_no || ':' || name || ':{scanner}'), 1, 12) AS id, '{scanner}' AS scanner, severity, cwe, path AS file,
+       CAST(line_no AS INT) AS line_start, CAST(line_no AS INT) AS line_end, title, name || ' at line ' || line_no || '.' AS description,
+       advice AS remediation_hint, CAST(confidence AS DOUBLE) AS confidence, rtrim(line, ' ') AS code_snippet
 FROM n JOIN r ON regexp_matches(line, pattern) AND NOT coalesce(regexp_matches(line, unless), FALSE) WHERE {where}"""
 
 
+def shown(sql: str) -> str:
+    """Of the findings of a statement the columns that queries return."""
+    return f"SELECT {', '.join(COLUMNS)} FROM ({sql})"
+
+
 _NOT_TEST = r"NOT regexp_matches(path, '(?i)(?:^|[\\/])(?:tests?|spec|__tests__)[\\/]|(?:_test|\.test|\.spec|_spec)\.[a-z]+$')"
 _SCRIPT = f"regexp_matches(path, '\\.(?:js|jsx|ts|tsx|mjs|cjs)$') AND NOT regexp_matches(line, {literal(SCRIPT_SKIP)})"
 _SECRETS_SQL = rules_sql(rules.SECRETS, DOCUMENTS_SQL, "secrets")
@@ -74,10 +82,10 @@ _JS_FILES = corpora.files_sql(corpora.JS)
 _JS_SQL = rules_sql(rules.JS, _JS_FILES, "sast_js_ts", _SCRIPT)
 
 
-@query(_SECRETS_SQL)
+@query(shown(_SECRETS_SQL))
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known secret formats in all documents."""
-    return line_rules.match_rules(explode_lines(documents(spark, sf_dir)), rules.SECRETS, "secrets").select(*COLUMNS)
+    return line_rules.known_secrets(documents(spark, sf_dir)).select(*COLUMNS)
 
 
 _LITERALS = f"""WITH f AS ({DOCUMENTS_SQL} UNION ALL {corpora.files_sql(corpora.JS)}),{LINES},
@@ -92,7 +100,8 @@ FROM p GROUP BY path, line_no, literal"""
 @query(_LITERALS)
 def secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of every quoted literal of eight characters and more."""
-    lines = explode_lines(documents(spark, sf_dir).unionByName(corpora.files(spark, corpora.JS)))
+    files = documents(spark, sf_dir).unionByName(corpora.files(spark, corpora.JS))
+    lines = explode_lines(files.where(F.col("content").rlike("['\"]")))
     quoted = F.regexp_extract_all("line", F.lit(r"['\"]([A-Za-z0-9+/=_\-]{8,})['\"]"), F.lit(1))
     rows = lines.where(F.col("line").rlike("['\"]")).select(F.col("path").alias("file"), F.col("line_no").alias("line_start"), F.explode(quoted).alias("literal")).distinct()
     return rows.withColumns({"entropy": F.round(entropy(F.col("literal")), 6), "random_base64": is_high_entropy_base64(F.col("literal"))})
@@ -104,39 +113,41 @@ SELECT path AS file, CAST(line_no AS INT) AS line_start,
 FROM n WHERE regexp_matches(line, '[''"][A-Za-z0-9+/=_\\-]{{20,}}[''"]')""")
 def redacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that quote a long token, with the token redacted."""
-    lines = explode_lines(documents(spark, sf_dir)).where(F.col("line").rlike(r"['\"][A-Za-z0-9+/=_\-]{20,}['\"]"))
+    token = r"['\"][A-Za-z0-9+/=_\-]{20,}['\"]"
+    files = documents(spark, sf_dir)
+    lines = explode_lines(files.where(F.col("content").rlike(token))).where(F.col("line").rlike(token))
     return lines.select(F.col("path").alias("file"), F.col("line_no").alias("line_start"), redact(F.col("line")).alias("redacted"))
 
 
-@query(_JS_SQL)
+@query(shown(_JS_SQL))
 def js_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All script rules on the inline scripts."""
     return line_rules.js_findings(corpora.files(spark, corpora.JS)).select(*COLUMNS)
 
 
-_PAGES = rules_sql(rules.JS, PAGES_SQL, "sast_js_ts", _SCRIPT)
+_PAGES = rules_sql(rules.JS, f"{PAGES_SQL} UNION ALL {corpora.files_sql(corpora.PAGES)}", "sast_js_ts", _SCRIPT)
 
 
-@query(_PAGES)
+@query(shown(_PAGES))
 def js_rules_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All script rules on all web pages."""
+    """All script rules on all web pages and an inline one."""
     return line_rules.js_findings(pages(spark, sf_dir)).select(*COLUMNS)
 
 
-@query(rules_sql(rules.AUTH, corpora.files_sql(corpora.AUTH), "auth_bypass", f"{_NOT_TEST} AND NOT regexp_matches(path, '\\.(?:yaml|yml|json|toml)$') AND NOT regexp_matches(line, {literal(CODE_SKIP)})"))
+@query(shown(rules_sql(rules.AUTH, corpora.files_sql(corpora.AUTH), "auth_bypass", f"{_NOT_TEST} AND NOT regexp_matches(path, '\\.(?:yaml|yml|json|toml)$') AND NOT regexp_matches(line, {literal(CODE_SKIP)})")))
 def auth_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All access rules on the inline files."""
     return line_rules.auth_findings(corpora.files(spark, corpora.AUTH)).select(*COLUMNS)
 
 
-@query(rules_sql([r for r in rules.EXTENDED if "(?!" not in r.pattern], corpora.files_sql(corpora.AUTH, corpora.PYTHON), "extended", f"NOT regexp_matches(line, {literal(CODE_SKIP)})"))
+@query(shown(rules_sql([r for r in rules.EXTENDED if "(?!" not in r.pattern], corpora.files_sql(corpora.AUTH, corpora.PYTHON), "extended", f"NOT regexp_matches(line, {literal(CODE_SKIP)})")))
 def extended_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The opt-in pack, but for the rules that look ahead, on the inline files."""
     pack = [r for r in rules.EXTENDED if "(?!" not in r.pattern]
     return line_rules.extended_findings(corpora.files(spark, corpora.AUTH, corpora.PYTHON), pack).select(*COLUMNS)
 
 
-@query(rules_sql(rules.EXTENDED, corpora.files_sql(corpora.AUTH, corpora.PYTHON), "extended", f"NOT regexp_matches(line, {literal(CODE_SKIP)})"))
+@query(shown(rules_sql(rules.EXTENDED, corpora.files_sql(corpora.AUTH, corpora.PYTHON), "extended", f"NOT regexp_matches(line, {literal(CODE_SKIP)})")))
 def extended_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole opt-in pack on the inline files."""
     return line_rules.extended_findings(corpora.files(spark, corpora.AUTH, corpora.PYTHON)).select(*COLUMNS)
@@ -232,13 +243,13 @@ def language_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, twice, and script findings of all pages and inline scripts."""
-    secrets = line_rules.match_rules(explode_lines(documents(spark, sf_dir)), rules.SECRETS, "secrets")
+    secrets = line_rules.known_secrets(documents(spark, sf_dir))
     scripts = line_rules.js_findings(pages(spark, sf_dir).unionByName(corpora.files(spark, corpora.JS)))
     return merge.union([secrets, secrets, scripts])
 
 
-_ALL_SQL = f"""x AS (SELECT *, 'secrets' AS scanner FROM ({_SECRETS_SQL}) UNION ALL SELECT *, 'secrets' FROM ({_SECRETS_SQL})
-      UNION ALL SELECT *, 'sast_js_ts' FROM ({_JS_SQL}) UNION ALL SELECT *, 'sast_js_ts' FROM ({_PAGES})),
+_ALL_SQL = f"""x AS (SELECT * FROM ({_SECRETS_SQL}) UNION ALL SELECT * FROM ({_SECRETS_SQL})
+      UNION ALL SELECT * FROM ({_JS_SQL}) UNION ALL SELECT * FROM ({_PAGES})),
 d AS (SELECT DISTINCT * FROM x),
 o AS (SELECT *, list_position({list(SEVERITIES)}, severity) - 1 AS sev FROM d)"""
 
@@ -294,17 +305,77 @@ def llm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_review.parse_responses(rows).select("file", "line_start", "line_end", "severity", "cwe", "title", "confidence")
 
 
-@query(f"WITH {_ALL_SQL} SELECT id, file FROM d")
+_REDACTED = r"""regexp_replace(code_snippet, '([''"])([A-Za-z0-9+/=_\-]{4})[A-Za-z0-9+/=_\-]{12,}([A-Za-z0-9+/=_\-]{4})([''"])', '\1\2***\3\4', 'g')"""
+_BLOCK = f"""'### [' || severity || '] ' || title || chr(10) || '**File:** `' || file || '`, lines ' || line_start || '–' || line_end || '  ' || chr(10)
+  || '**CWE:** ' || cwe || '  ' || chr(10) || '**Scanner:** ' || scanner || '  ' || chr(10)
+  || '**Confidence:** ' || CAST(trunc(confidence * 100) AS INT) || '%' || chr(10) || chr(10) || '**Issue:** ' || description || chr(10) || chr(10)
+  || '**Fix instructions:** ' || remediation_hint || chr(10)
+  || CASE WHEN code_snippet = '' THEN '' ELSE chr(10) || '```' || chr(10) || {_REDACTED} || chr(10) || '```' || chr(10) END"""
+
+
+@query(f"WITH {_ALL_SQL}, k AS (SELECT id, file, {_BLOCK} AS b FROM d) SELECT id, file, sha256(b) AS block_sha256, length(b) AS block_chars FROM k")
 def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Markdown block a finding; how long it is belongs to the tests."""
-    return report.blocks(merge.merge([_all(spark, sf_dir)])).where(F.length("block") > 0).select("id", "file")
+    """The Markdown block of each finding, by its digest and length."""
+    found = report.blocks(merge.merge([_all(spark, sf_dir)]))
+    return found.select("id", "file", F.sha2("block", 256).alias("block_sha256"), F.length("block").cast("long").alias("block_chars"))
+
+
+_OBJECT = ", ".join(f"'{c}', {c}" for c in FINDING_COLUMNS)
 
 
-@query()
+@query(f"WITH {_ALL_SQL} SELECT id, CAST(json_object({_OBJECT}) AS VARCHAR) AS json FROM d")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding as a JSON object."""
     return report.json_rows(merge.merge([_all(spark, sf_dir)]))
 
 
+@query(f"WITH {_ALL_SQL} SELECT file, CAST(count(*) AS INT) AS n, string_agg(severity || ' ' || line_start || ' ' || title, '|' ORDER BY sev, line_start, title) AS listed FROM o GROUP BY file")
+def findings_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of each file, the gravest first."""
+    line = lambda f: F.concat(f["severity"], F.lit(" "), f["line_start"].cast("string"), F.lit(" "), f["title"])
+    found = report.file_findings(merge.merge([_all(spark, sf_dir)]))
+    # what ties in severity is listed by line and title here, as no order is promised there but that in which it was made
+    rank = lambda f: F.struct(severity_order(f["severity"]), f["line_start"], f["title"], line(f))
+    listed = F.transform(F.array_sort(F.transform("findings", rank)), lambda x: x["col4"])
+    return found.select("file", "n", F.array_join(listed, "|").alias("listed"))
+
+
+_RANDOM_SQL = f"""WITH f AS ({corpora.files_sql(corpora.SECRET_FILES)}),{LINES},
+q AS (SELECT DISTINCT path, line_no, unnest(regexp_extract_all(line, '[''"]([A-Za-z0-9+/=_\\-]{{20,}})[''"]', 1)) AS literal FROM n),
+c AS (SELECT path, line_no, literal, unnest(string_split(literal, '')) AS c FROM q),
+p AS (SELECT path, line_no, literal, c, count(*) / length(literal) AS p FROM c GROUP BY path, line_no, literal, c),
+e AS (SELECT path, line_no, literal FROM p GROUP BY path, line_no, literal HAVING sum(-p * log2(p)) > 4.5)
+SELECT DISTINCT substr(sha256(path || ':' || line_no || ':High-Entropy String Literal:secrets'), 1, 12) AS id, path AS file, CAST(line_no AS INT) AS line_start,
+       'High-Entropy String Literal' AS title, 'HIGH' AS severity, 'CWE-798' AS cwe, CAST(0.6 AS DOUBLE) AS confidence FROM e"""
+
+
+@query(f"{shown(rules_sql(rules.SECRETS, corpora.files_sql(corpora.SECRET_FILES), 'secrets'))} UNION ALL SELECT * FROM ({_RANDOM_SQL})")
+def secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret format, its near miss, and literals that look random."""
+    return line_rules.secret_findings(corpora.files(spark, corpora.SECRET_FILES)).select(*COLUMNS)
+
+
+@query(f"""WITH f AS ({corpora.files_sql(corpora.ROUTES)}),{LINES},
+p AS (SELECT * FROM {values([(k, n, p, "|".join(a), "|".join(r)) for k, (n, p, a, r) in enumerate(api_surface.PACKS)], "ord, framework, pattern, auth, lim")}),
+m AS (SELECT n.path, line_no, ord, framework, CASE WHEN regexp_extract(line, pattern, 1) = '' THEN '/' ELSE regexp_extract(line, pattern, 1) END AS route, auth, lim,
+             array_to_string(l.l[greatest(line_no - 51, 0) + 1 : least(len(l.l), line_no + 49)], chr(10)) AS context
+      FROM n JOIN l USING (path) JOIN p ON regexp_matches(line, pattern) WHERE {_NOT_TEST.replace("path", "n.path")})
+SELECT path, CAST(line_no AS INT) AS line_no, framework, route,
+       len([x FOR x IN string_split(auth, '|') IF contains(context, x)]) > 0 AS guarded,
+       len([x FOR x IN string_split(lim, '|') IF contains(context, x)]) > 0 AS limited,
+       len([x FOR x IN {list(api_surface.PACK_SENSITIVE)} IF contains(lower(route), x)]) > 0 AS sensitive,
+       len([x FOR x IN {list(api_surface.PACK_PUBLIC)} IF starts_with(route, x)]) > 0 AS public FROM m""")
+def route_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes as the opt-in packs of the frameworks judge them."""
+    found = api_surface.pack_routes(corpora.files(spark, corpora.ROUTES))
+    return found.select("path", F.col("line_no").cast("int").alias("line_no"), "framework", "route", "guarded", "limited", "sensitive", "public")
+
+
+@query(f"SELECT path AS file, sha256(content) AS sha256 FROM ({DOCUMENTS_SQL})")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(F.col("path").alias("file"), content_hash(F.col("content")).alias("sha256"))
+
+
 _BEFORE = rules_sql([r for r in rules.JS_BUILTIN], _JS_FILES, "sast_js_ts", _SCRIPT)
 
 

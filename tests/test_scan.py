@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.text import entropy, is_high_entropy, lines_of, mask_key, redact
 from sievelight.model import FINDING_COLUMNS, severity_order
-from sievelight.operators import line_rules, merge, model_review, python_ast
-from sievelight.plans import corpora, queries, report
+from sievelight.operators import dependencies, line_rules, merge, model_review, python_ast
+from sievelight.plans import corpora, queries, report, staging
 from sievelight.plans.scan import Options, as_files, engines, register_engine, scan
+from sievelight.plans.scan import report as report_of
 from sievelight.sources import tree
-from sievelight.sources.rules import EXTENDED, SECRETS, load_yaml_rules
+from sievelight.sources.config import Config, ScanDefaults, load_config, save_config
+from sievelight.sources.rules import AUTH, EXTENDED, JS, SECRETS, Rule, load_yaml_rules
 from sievelight.streaming.incremental import scan_batches, watch_lines
 
 
@@ -37,27 +39,14 @@ def test_scalars(spark):
     assert one(spark, "odd", severity_order(F.col("x"))) == 4
 
 
-# One text for each secret format; the next line is a near miss.
-HITS = {
-    "SEC1a": ("AKIA" + "A1" * 8, "AKIA" + "a1" * 8), "SEC1b": ("aws_secret_key = '" + "a1B2" * 10 + "'", "aws_secret_key = 'short'"),
-    "SEC1c": ("sk_live_" + "a" * 16, "sk_live_abc"), "SEC1d": ("sk_test_" + "a" * 16, "sk_test_x"), "SEC1e": ("ghp_" + "a" * 20, "ghp_short"),
-    "SEC1f": ("xoxb-1234567890", "xoxc-1234567890"), "SEC1g": ("postgres://u:p@h/db", "postgres://h/db"),
-    "SEC1h": ("-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----"), "SEC1i": ('token = "' + "a" * 16 + '"', 'token = "short"'),
-    "SEC1j": ("Bearer " + "a" * 16, "Bearer x"), "SEC1k": ("eyJa.b.c", "eyJa.b"), "SEC1l-1": ("SG." + "a" * 16 + "." + "b" * 16, "SG.a.b"),
-    "SEC1l-2": ("AC" + "0a" * 16, "AC12"), "SEC1l-3": ("key-" + "0a" * 16, "key-0a"), "SEC1l-4": ("AIza" + "a" * 35, "AIza1"),
-    "SEC1l-5": ("npm_" + "a" * 36, "npm_a"), "SEC1l-6": ("dckr_pat_" + "a" * 20, "dckr_pat_a"), "SEC1l-7": ("AccountKey=" + "a" * 40, "AccountKey=a"),
-    "SEC1l-8": ("shpat_" + "0a" * 16, "shpat_0a"), "SEC1l-9": ("dop_v1_" + "0a" * 32, "dop_v1_0a"), "SEC1l-10": ("pypi-" + "a" * 16, "pypi-a"),
-    "SEC1l-11": ("heroku key 01234567-89ab-cdef-0123-456789abcdef", "heroku 01234567"),
-}
-
-
 def test_each_secret_format(spark):
     names = {r.code: r.name for r in SECRETS}
-    assert set(HITS) == set(names)
-    files = as_files(spark.createDataFrame([(k, "\n".join(v)) for k, v in HITS.items()], "path string, content string"), F.col("path"), "content")
+    hits = corpora.SECRET_LINES
+    assert set(hits) == set(names)
+    files = as_files(spark.createDataFrame([(k, "\n".join(v)) for k, v in hits.items()], "path string, content string"), F.col("path"), "content")
     found = line_rules.match_rules(line_rules.explode_lines(files), SECRETS, "secrets").collect()
-    assert {(f.file, f.title, f.line_start) for f in found} >= {(k, names[k], 1) for k in HITS}
-    assert not {(f.file, f.title) for f in found if f.line_start == 2} & {(k, names[k]) for k in HITS}
+    assert {(f.file, f.title, f.line_start) for f in found} >= {(k, names[k], 1) for k in hits}
+    assert not {(f.file, f.title) for f in found if f.line_start == 2} & {(k, names[k]) for k in hits}
 
 
 def test_random_literal(spark):
@@ -109,6 +98,9 @@ def test_syntax_tree_corners():
     assert [h[2] for h in python_ast.scan("a.pwd = other = 'longenough1'")] == ["Hardcoded Credential in Variable `pwd`"]
     assert python_ast.scan("try:\n    x\nexcept (Exception, OSError):\n    pass\n") == []
     assert [h[0] for h in python_ast.scan("try:\n    x\nexcept:\n    ...\n")] == [3]
+    # a test that the library cannot print takes no other finding with it
+    chain = " + ".join(f"n{i}" for i in range(3000))
+    assert {h[0] for h in python_ast.scan(f"eval(x)\nassert {chain}\nhashlib.md5(b)\n")} == {1, 3}
 
 
 @pytest.fixture
@@ -129,6 +121,10 @@ def test_source_tree(spark, source):
     assert rows["bad.txt"].content == "caf" and rows["app/a.py"].language == "python" and rows["empty.txt"].language is None
     assert "out/b.py" in {r.path for r in tree.read_tree(spark, str(source), respect_ignore="false").collect()}
     assert [r.path for r in tree.read_tree(spark, str(source / "app/a.py")).collect()] == ["a.py"]
+    assert {r.path for r in tree.read_tree(spark, f"file://{source}", max_file_size_kb=1).collect()} == set(rows)
+    parts = tree._Reader({"path": str(source), "partition_bytes": 4096, "max_file_size_kb": "9"}).partitions()
+    assert len(parts) == len({p for part in parts for p in part.paths}) and tree._Reader({"path": str(source / "none")}).partitions()[0].paths == []
+    assert all(tree.is_binary(m + b"text") for m in tree.MAGIC + tree.MORE_MAGIC) and not tree.is_binary(b"text")
 
 
 def test_whole_scan(spark, source, tmp_path):
@@ -148,6 +144,73 @@ def test_whole_scan(spark, source, tmp_path):
     assert json.loads(out.read_text())["findings"] == [] and report.write_prompts(empty, str(tmp_path / "q")) == []
 
 
+def test_written_reports_come_back(spark, tmp_path):
+    files = corpora.files(spark, corpora.JS)
+    made = report_of(files, "src", Options(), now=datetime(2024, 1, 2, 3, 4))
+    out = tmp_path / "a" / "last.json"
+    assert report.cache(made, str(out)) and not report.cache(made, "/proc/none/last.json")
+    back = report.read_report(spark, str(out))
+    assert (back.scan_id, back.target, back.timestamp, back.files_scanned, back.scanners) == (made.scan_id, "src", made.timestamp, made.files_scanned, made.scanners)
+    assert back.seconds == made.seconds > 0 and report.summary(back.findings).first() == report.summary(made.findings).first()
+    first, again = (report.write_prompts(r, str(tmp_path / n)) for r, n in ((made, "p"), (back, "q")))
+    assert [open(p).read() for p in first] == [open(p).read() for p in again] and report.write_prompts_of(spark, str(out), str(tmp_path / "r"))
+    for bad in ("{", '{"findings": [{"id": "x"}]}', '{"findings": [{"id": 5, "severity": "ODD"}]}', ""):
+        out.write_text(bad)
+        assert report.read_report(spark, str(out)) is None and report.write_prompts_of(spark, str(out), str(tmp_path / "s")) == []
+    text = report.terminal(made)
+    assert text.index("\na.js") < text.index("\nb.tsx") and "(javascript)" in text and "fix: " in text and "CRITICAL" in text and "█" in text
+    assert "No findings." in report.terminal(report.Report("x", "y", datetime(2024, 1, 2), made.findings.limit(0)))
+
+
+def test_no_engines(spark):
+    files = corpora.files(spark, corpora.JS)
+    assert scan(files, Options(deps=True)).count() == 0
+    assert report_of(files.limit(0), "x").scanners == []
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master, applicationId = "yarn", "a"
+
+    with pytest.raises(ValueError):
+        staging.shared_dir(Cluster)
+
+
+def test_settings(tmp_path):
+    path = str(tmp_path / "c" / "config.toml")
+    assert load_config(path) is None
+    made = Config("ollama", 'a "b"\\c', None, ScanDefaults(deep=True))
+    save_config(made, path)
+    assert load_config(path) == made
+    for bad in ('provider = "none"\nmodel = "m"', 'provider = "groq"', 'provider = "groq"\nmodel = 1', "[", 'provider = "groq"\nmodel = "m"\n[scan_defaults]\ndeep = 1'):
+        (tmp_path / "c" / "config.toml").write_text(bad)
+        assert load_config(path) is None, bad
+
+
+def test_version_order(spark):
+    ordered = ["1.0.dev1", "1.0a1", "1.0-alpha.2", "1.0b1", "1.0rc1", "1.0", "v1.0.1", "1.0.1.post1", "1.2", "1.10", "2.0.0+build", "10"]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(ordered)], "k int, v string").withColumn("key", dependencies.version_key(F.col("v")))
+    assert [r.v for r in rows.orderBy("key").collect()] == ordered
+    same = spark.createDataFrame([("1", "v1.0.0")], "a string, b string")
+    assert same.select(dependencies.version_key(F.col("a")) == dependencies.version_key(F.col("b"))).first()[0]
+
+
+def test_what_rules_need():
+    rng = random.Random(7)
+    for r in SECRETS + JS + AUTH + EXTENDED:
+        assert r.needs, r.code
+    texts = [x for pair in corpora.SECRET_LINES.values() for x in pair] + [x for c in (corpora.JS, corpora.AUTH, corpora.PYTHON) for t in c.values() for x in t.split("\n")]
+    for r in SECRETS + JS + AUTH + EXTENDED:
+        for line in texts + ["".join(rng.sample(x.swapcase(), len(x))) for x in texts]:
+            if re.search(r.pattern, line):
+                assert any(x in (line.lower() if any_case else line) for x, any_case in r.needs), (r.code, line)
+    assert Rule("js-extra", "A", "n", "[a-z]+", "HIGH", "", "", 0.5).needs is None
+
+
 def test_long_prompts_are_packed(spark, tmp_path):
     base = line_rules.js_findings(corpora.files(spark, corpora.JS))
     copies = F.explode(F.sequence(F.lit(1), F.lit(8)))
