@@ -87,13 +87,12 @@ def in_ranges(version: Column, affected: Column) -> Column:
 def matched(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """Each dependency with its advisories, in order; unpinned ones have none.
 
-    The advisories are counted and broadcast up to a limit.  Beyond it each
-    package is dealt to several tasks, since one package may stand in a third
-    of all manifests.
+    The advisories are broadcast where they are few.  Beyond that those of
+    the most named packages are: one may stand in a third of all manifests.
     """
     deps = deps.where(~F.col("version").isin(*UNPINNED))
     known = advisories.withColumnsRenamed({"ord": "vuln_ord", "version": "vuln_version"})
-    out = join_groups(deps, known, ["ecosystem", "package"], F.col("path"))
+    out = join_groups(deps, known, ["ecosystem", "package"])
     exact = F.col("vuln_version") == F.col("version")
     out = out.where(F.when(F.col("vuln_version").isNotNull(), exact).otherwise(in_ranges(F.col("version"), F.col("affected"))))
     aliases = F.coalesce("aliases", F.array().cast("array<string>"))

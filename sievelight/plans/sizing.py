@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.plans.staging import stage
+
 #: A side of at most so many rows and bytes is broadcast; beyond either the join is shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
-#: Shares into which each key of the large side is dealt when the join is shuffled.
-SALTS = 64
+#: A key with more rows is hot where a join is shuffled, in tables that are small themselves.
+HOT_ROWS = 1_000
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -31,36 +33,42 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_
     return n <= rows and (held or 0) <= bytes_
 
 
-def join_groups(
-    rows: DataFrame,
-    groups: DataFrame,
-    keys: list[str],
-    spread: Column,
-    how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
+def _same(rows: DataFrame, other: str, keys: list[str]) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(F.col(f"{other}{k}"))
+    return same
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``rows`` with ``groups`` (one row a key, or few), safe for hot keys.
 
-    ``groups`` is counted and weighed.  Up to ``broadcast_rows`` it is
-    broadcast, so ``rows`` never moves.  A larger one is repeated once for each salt, and
-    ``rows`` is dealt by key and ``spread`` (any expression that differs
-    within a key), so a key with a third of all rows meets ``salts`` tasks.
-    Keys compare null-safe.  ``how`` is ``inner`` or ``left``.
+    ``groups`` is counted and weighed.  A small one is broadcast, so ``rows``
+    never moves.  Beside a larger one the rows are counted by key.  Keys with
+    more than ``hot_rows`` rows, and more than one in ``broadcast_rows`` of
+    all, are hot; there are ``broadcast_rows`` of them at most, so their groups
+    are broadcast to their rows, and only rows of other keys are shuffled.
+    Keys compare null-safe.  ``how`` is ``inner`` or ``left``.  ``rows`` is
+    read several times and should be a table.
     """
     right = groups.select(*[F.col(k).alias(f"__g_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
-    same = F.lit(True)
-    for k in keys:
-        same = same & rows[k].eqNullSafe(F.col(f"__g_{k}"))
     drop = [f"__g_{k}" for k in keys]
     if is_small(right, broadcast_rows):
-        return rows.join(F.broadcast(right), same, how).drop(*drop)
-    left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = right.withColumn("__gsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    same = F.col("__salt") == F.col("__gsalt")
+        return rows.join(F.broadcast(right), _same(rows, "__g_", keys), how).drop(*drop)
+    least = max(hot_rows, rows.count() // max(1, broadcast_rows))
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > least)
+    hot = stage(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys]), "hot-keys")
+    is_hot = _same(rows, "__h_", keys)
+    among = F.lit(True)
     for k in keys:
-        same = same & left[k].eqNullSafe(F.col(f"__g_{k}"))
-    return left.join(right, same, how).drop("__salt", "__gsalt", *drop)
+        among = among & F.col(f"__g_{k}").eqNullSafe(F.col(f"__h_{k}"))
+    cold = rows.join(F.broadcast(hot), is_hot, "left_anti")
+    cold = cold.join(right, _same(cold, "__g_", keys), how)
+    if hot.isEmpty():
+        return cold.drop(*drop)
+    warm = rows.join(F.broadcast(hot), is_hot, "left_semi")
+    warm = warm.join(F.broadcast(right.join(F.broadcast(hot), among, "left_semi")), _same(warm, "__g_", keys), how)
+    return cold.unionByName(warm).drop(*drop)
 
 
 def without(rows: DataFrame, out: DataFrame, same: Column, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
