@@ -106,13 +106,13 @@ def mix_sources(
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    cut = join_groups(sums, targets.select("source", "rest"), ["source"], F.col("range"))
+    cut = join_groups(sums, targets.select("source", "rest"), ["source"])
     cut = cut.where("before < rest").groupBy("source").agg(F.max_by(F.struct("range", "before"), "range").alias("cut"))
     cut = cut.select("source", F.col("cut.range").alias("cut_range"), F.col("cut.before").alias("cut_before"))
     same = F.col("source").eqNullSafe(F.col("cut_source"))
     targets = targets.join(cut.withColumnRenamed("source", "cut_source"), same, "left").drop("cut_source")
 
-    rows = join_groups(rows, targets, ["source"], F.col("id"))
+    rows = join_groups(rows, targets, ["source"])
     at_cut = F.coalesce(F.col("range") == F.col("cut_range"), F.lit(False))
     inside = F.coalesce(F.col("range") < F.col("cut_range"), F.lit(False))
     whole = rows.where(~at_cut).withColumn("copies", F.col("epochs") + F.when(inside, 1).otherwise(0))

@@ -1,14 +1,17 @@
 """Similarity join on word shingles with Bayesian pruning.
 
-1. One pass over the texts gives each document a digest of its words and the
-   band keys of its MinHash signature.  Documents with the same words are one
-   class from here on, so copies are never expanded.
-2. Band keys that several classes share connect them to the least of them.
-   The components of these links hold every candidate pair.
-3. Inside a component, cut into blocks of bounded size, signatures are
-   compared some values at a time.  A pair is dropped as soon as its posterior
-   probability of reaching the threshold (uniform prior) falls below the
-   tolerance; what is left is verified on the exact shingle sets.
+1. One pass over the texts gives each document a digest of its words, its
+   MinHash signature and the band keys of it.  Documents with the same words
+   are one class from here on, so copies are never expanded.
+2. Classes that share a band are candidates.  Each class lives in the largest
+   band that it shares, in a chunk of bounded size; two chunks make a block if
+   any band has classes of both.  So every candidate pair meets in one block,
+   and classes that chains of bands connect, but no band, make no blocks.
+3. Inside a block signatures are compared some values at a time.  A pair is
+   dropped as soon as its posterior probability of reaching the threshold
+   (uniform prior) falls below the tolerance.  Only classes with a pair left
+   have their texts fetched, and those pairs are verified on the exact shingle
+   sets.
 4. Blocks return sums of links and a spanning forest, never their pairs.
 """
 
@@ -20,14 +23,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.arrow import slices
 from sievelight.llm.components import connected_components
 from sievelight.llm.hashing import U64, WORD_BASE, batches, mix, shingle_hashes, word_hashes
 from sievelight.llm.rows import drop_rows, fresh, same_row
-from sievelight.plans.sizing import BROADCAST_ROWS, without
+from sievelight.plans.sizing import BROADCAST_ROWS, is_small, join_groups, without
 from sievelight.plans.staging import discard, stage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -94,7 +97,7 @@ def _digest(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
         h1, h2 = np.zeros(len(texts), U64), np.zeros(len(texts), U64)
         n_words = np.zeros(len(texts), np.int64)
-        keys = np.zeros((len(texts), BANDS), np.int64)
+        keys, signs = np.zeros((len(texts), BANDS), np.int64), np.zeros((len(texts), SIGNATURE), "<u4")
         for a, b in batches(texts):
             words, at = word_hashes(texts[a:b])
             n_words[a:b] = np.diff(at)
@@ -106,52 +109,96 @@ def _digest(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     mixed = mix(words + (place.astype(U64) + U64(1)) * U64(salt))
                     out[a + some] = np.add.reduceat(mixed, at[some], dtype=U64)
             shingles, offsets = shingle_hashes(words, at, SHINGLE)
-            keys[a:b] = band_keys(signatures(shingles, offsets, BANDS * ROWS))
+            signs[a:b] = signatures(shingles, offsets)
+            keys[a:b] = band_keys(signs[a:b])
         flat = pa.array(keys.reshape(-1), pa.int64())
         offsets = pa.array(np.arange(0, len(texts) * BANDS + 1, BANDS), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), *(pa.array(x.view(np.int64), pa.int64()) for x in (h1, h2)), pa.array(n_words), pa.ListArray.from_arrays(offsets, flat)],
-            names=["id", "text_hash", "h1", "h2", "n_words", "bands"],
+            [
+                batch.column(0), batch.column(2), *(pa.array(x.view(np.int64), pa.int64()) for x in (h1, h2)), pa.array(n_words),
+                pa.ListArray.from_arrays(offsets, flat), pa.array([r.tobytes() for r in signs], pa.binary()),
+            ],
+            names=["id", "text_hash", "h1", "h2", "n_words", "bands", "signature"],
         )
 
 
-def _compare(threshold: float, batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of ``component, a, b, side, uid, copies, text``; rows of ``kind, x, y`` out.
+def _blocks(batches_: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
+    """The rows of each block, of sorted rows of ``a, b, side, uid, ...``; rows equal in those are one."""
+    held: list[tuple] = []
+    for batch in slices(batches_, column):
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[-1][:2] != row[:2]:
+                yield held
+                held = []
+            if not held or held[-1][:4] != row[:4]:
+                held.append(row)
+    if held:
+        yield held
+
+
+def _pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of a block: within a chunk, or across two."""
+    i, j = np.triu_indices(len(rows), 1)
+    if rows[0][0] != rows[0][1]:
+        side = np.array([r[2] for r in rows])
+        cross = side[i] != side[j]
+        i, j = i[cross], j[cross]
+    return i, j
+
+
+def prune(signs: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that may still reach the threshold after each step of values."""
+    matches, done = np.zeros(len(i), np.int64), 0
+    for n in STEPS:
+        matches = matches + (signs[i, done:n] == signs[j, done:n]).sum(1)
+        keep = matches >= least_matches(n, threshold, tolerance)
+        i, j, matches, done = i[keep], j[keep], matches[keep], n
+    return i, j
+
+
+def _signs(rows: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join(r[4] for r in rows), "<u4").reshape(len(rows), SIGNATURE)
+
+
+def _survivors(threshold: float, batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows of ``a, b, side, uid, signature`` those with a pair that pruning leaves, without signatures."""
+    made: list[tuple] = []
+    for rows in _blocks(batches_, 4):
+        i, j = prune(_signs(rows), *_pairs(rows), threshold)
+        made.extend(rows[k][:4] for k in np.unique(np.r_[i, j]).tolist())
+        if len(made) > 50_000:
+            yield _longs(zip(*made), ("a", "b", "side", "uid"))
+            made = []
+    yield _longs(zip(*made) if made else [[]] * 4, ("a", "b", "side", "uid"))
+
+
+def _longs(columns, names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=list(names))
+
+
+def _verify(threshold: float, batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of ``a, b, side, uid, signature, copies, text``; rows of ``kind, x, y`` out.
 
     Kind 0: class ``x`` has ``y`` linked documents in this block; kind 1: an
     edge of the block's spanning forest.
     """
-    held, block = [], None
     made: list[list] = [[], [], []]
-
-    def flush():
-        if len(held) > 1:
-            for out, new in zip(made, _block(held, threshold, cross=block[1] != block[2])):
-                out.extend(new)
-
-    for batch in slices(batches_, 6):
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:3] != block:
-                flush()
-                held, block = [], row[:3]
-            if not held or held[-1][1] != row[4] or held[-1][0] != row[3]:
-                held.append(row[3:])
+    for rows in _blocks(batches_, 6):
+        for out, new in zip(made, _block(rows, threshold)):
+            out.extend(new)
         if len(made[0]) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], names=["kind", "x", "y"])
+            yield _longs(made, ("kind", "x", "y"))
             made = [[], [], []]
-    flush()
-    yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], names=["kind", "x", "y"])
+    yield _longs(made, ("kind", "x", "y"))
 
 
-def shingle_sets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct shingles and the signature of each text."""
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Distinct shingles of each text."""
     sets: list[np.ndarray] = []
-    signs = []
     for a, b in batches(texts):
         shingles, offsets = shingle_hashes(*word_hashes(texts[a:b]), SHINGLE)
-        signs.append(signatures(shingles, offsets))
         sets.extend(np.unique(shingles[s:e]) for s, e in zip(offsets, offsets[1:]))
-    return sets, np.concatenate(signs)
+    return sets
 
 
 def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -171,35 +218,24 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return both[i, j].astype(np.int64)
 
 
-def similar_pairs(texts: list[str], pairs: tuple[np.ndarray, np.ndarray], threshold: float, tolerance: float = TOLERANCE):
+def similar_pairs(texts: list[str], i: np.ndarray, j: np.ndarray, threshold: float):
     """Of the pairs of indices those whose exact Jaccard similarity reaches the threshold."""
-    sets, signs = shingle_sets(texts)
+    if not len(i):
+        return i, j
+    sets = shingle_sets(texts)
     sizes = np.array([len(s) for s in sets])
-    i, j = pairs
-    keep = (sizes[i] > 0) & (sizes[j] > 0)
     # a smaller set than the threshold allows cannot match
-    keep &= np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
+    keep = np.minimum(sizes[i], sizes[j]) >= np.maximum(1, threshold * np.maximum(sizes[i], sizes[j]) - 1e-9)
     i, j = i[keep], j[keep]
-    matches, done = np.zeros(len(i), np.int64), 0
-    for n in STEPS:
-        matches = matches + (signs[i, done:n] == signs[j, done:n]).sum(1)
-        keep = matches >= least_matches(n, threshold, tolerance)
-        i, j, matches, done = i[keep], j[keep], matches[keep], n
-    if not len(i):
-        return i, j
-    both = _intersections(sets, i, j)
+    both = _intersections(sets, i, j) if len(i) else np.zeros(0, np.int64)
     keep = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
     return i[keep], j[keep]
 
 
-def _block(rows: list[tuple], threshold: float, cross: bool) -> tuple[list, list, list]:
-    sides, uids, copies, texts = zip(*rows)
-    side, weight = np.array(sides), np.array(copies)
-    i, j = np.triu_indices(len(rows), 1)
-    if cross:
-        keep = side[i] != side[j]
-        i, j = i[keep], j[keep]
-    i, j = similar_pairs(list(texts), (i, j), threshold)
+def _block(rows: list[tuple], threshold: float) -> tuple[list, list, list]:
+    _, _, _, uids, _, copies, texts = zip(*rows)
+    weight = np.array(copies)
+    i, j = similar_pairs(list(texts), *prune(_signs(rows), *_pairs(rows), threshold), threshold)
     links = np.bincount(i, weight[j], len(rows)) + np.bincount(j, weight[i], len(rows))
     some = np.flatnonzero(links)
     root = list(range(len(rows)))
@@ -222,6 +258,36 @@ def _block(rows: list[tuple], threshold: float, cross: bool) -> tuple[list, list
     return kinds, x, y
 
 
+def candidate_blocks(reps: DataFrame, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``a, b, side, uid``: which classes of ``uid, bands`` meet in which block.
+
+    ``a`` and ``b`` are chunks (the same one for the pairs within a chunk) and
+    ``side`` is the chunk that the class is of.  A band of m classes makes
+    blocks of the chunks that they live in, not pairs of them.
+    """
+    banded = reps.select("uid", F.explode("bands").alias("band"))
+    shared = stage(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-bands")
+    banded = stage(banded.join(F.broadcast(shared) if is_small(shared, broadcast_rows) else shared, "band"), "near-shared")
+    # a class lives in the largest band that it shares
+    homes = stage(banded.groupBy("uid").agg(F.max_by("band", F.struct("n", "band")).alias("home")), "near-homes")
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / block).alias("chunks"))
+    lived = join_groups(homes, sizes, ["home"], broadcast_rows=broadcast_rows)
+    members = stage(lived.select("uid", F.xxhash64("home", F.pmod(F.xxhash64("uid"), F.col("chunks"))).alias("chunk")), "near-chunks")
+    places = stage(banded.select("band", "uid").join(members, "uid").select("band", "chunk").distinct(), "near-places")
+    # chunks that a band has in common; most bands lie in one chunk alone
+    several = places.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    places = stage(places.join(several, "band"), "near-several")
+    left, right = (places.select("band", F.col("chunk").alias(c)) for c in "ab")
+    across = left.join(right, "band").where("a < b").select("a", "b").distinct()
+    within = members.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1")
+    within = within.select(F.col("chunk").alias("a"), F.col("chunk").alias("b"))
+    pairs = stage(across.unionAll(within), "near-pairs")
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("side"))
+    met = stage(sides.join(members, F.col("side") == F.col("chunk")).select("a", "b", "side", "uid"), "near-met")
+    discard(shared, banded, homes, members, places, pairs)
+    return met
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -237,61 +303,52 @@ def near_duplicates(
     ``n_links`` the number of other documents whose similarity is at least
     ``threshold``.  ``text_hash`` tells rows with one id apart.  Classes may
     have one ``class_id`` if ids repeat or are null; ``class_key`` tells them
-    apart (its values hold for this result only).
+    apart (its values hold for this result only).  Ids are integers, or texts
+    that hold some.
 
     A document without words (null, empty, only marks) has no links and the
     class of its own id.  Repeated rows are copies of each other; null ids
     count as the least; an empty table gives no rows; other columns are
-    ignored.  A pair is missed only if no band brings it together, directly
-    or through others (0.00005 at the threshold), or if pruning drops it
-    (``TOLERANCE``).
+    ignored.  A pair is missed only if no band brings it together (0.00005 at
+    the threshold), or if pruning drops it (``TOLERANCE``).
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    schema = "id long, text_hash long, h1 long, h2 long, n_words long, bands array<long>"
+    schema = "id long, text_hash long, h1 long, h2 long, n_words long, bands array<long>, signature binary"
     base = stage(texts.mapInArrow(_digest, schema).withColumn("uid", F.monotonically_increasing_id()), "near-digests")
 
     # classes of equal words; the least row stands for its class
     classes = base.where("n_words > 0").groupBy("h1", "h2").agg(
-        F.min("uid").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("id")).alias("copy")
+        F.min("uid").alias("rep"), F.count("*").alias("copies"), _least_id("id").alias("copy_id")
     )
-    classes = stage(classes.select("h1", "h2", "rep", "copies", F.col("copy.id").alias("copy_id")), "near-classes")
+    classes = stage(classes, "near-classes")
     reps = base.join(classes.select(F.col("rep").alias("uid"), "copies"), "uid")
     reps = stage(reps.select("uid", "copies", "id", "text_hash", "bands"), "near-reps")
 
-    # classes that share a band hang on the least of them
-    banded = reps.select("uid", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = stage(shared, "near-bands")
-    few = shared.limit(broadcast_rows + 1).count() <= broadcast_rows
-    edges = banded.join(F.broadcast(shared) if few else shared, "band").select(F.col("uid").alias("a"), F.col("hub").alias("b"))
-    parts = stage(connected_components(edges), "near-candidates")
-
-    # blocks: components in chunks, every pair of chunks once
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    sizes = sizes.select("component", F.ceil(F.col("n") / block).cast("int").alias("chunks"))
-    placed = parts.join(sizes, "component").withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = placed.select(
-        F.col("node").alias("uid"), "component", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "chunks"
-    )
-    wanted = stage(placed.join(reps.select("uid", "copies", "id", "text_hash"), "uid"), "near-blocks")
-    same = F.col("w.id").eqNullSafe(F.col("t.id")) & (F.col("w.text_hash") == F.col("t.text_hash"))
-    few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
-    with_text = texts.alias("t").join((F.broadcast(wanted) if few else wanted).alias("w"), same)
-    # consecutive blocks of a component go to consecutive partitions
-    n_parts = max(64, 2 * docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
-    at = F.pmod(F.xxhash64("component") + F.col("a").cast("long") * F.col("chunks") + F.col("b"), F.lit(n_parts)).cast("int")
-    with_text = with_text.select("w.component", "w.a", "w.b", "w.side", "w.uid", "w.copies", "t.text", at.alias("at"))
-    with_text = with_text.repartitionById(n_parts, F.col("at")).drop("at").sortWithinPartitions("component", "a", "b", "side", "uid")
-    found = stage(with_text.mapInArrow(partial(_compare, threshold), "kind long, x long, y long"), "near-links")
-    discard(shared, wanted)
+    def dealt(rows: DataFrame) -> DataFrame:
+        n_parts = max(64, 2 * docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
+        return rows.repartition(n_parts, "a", "b").sortWithinPartitions("a", "b", "side", "uid")
+
+    met = candidate_blocks(reps, block, broadcast_rows)
+    signs = _only(base.select("uid", "signature"), met.select(F.col("uid").alias("met")).distinct(), F.col("uid") == F.col("met"), broadcast_rows)
+    compared = dealt(met.join(signs, "uid").select("a", "b", "side", "uid", "signature"))
+    left = stage(compared.mapInArrow(partial(_survivors, threshold), "a long, b long, side long, uid long"), "near-left")
+    wanted = stage(left.join(reps.drop("bands"), "uid").join(signs, "uid"), "near-wanted")
+    # texts of the survivors alone move, one of those equal in id and text
+    same = lambda i, h: F.col("id").eqNullSafe(F.col(i)) & (F.col("text_hash") == F.col(h))
+    kept = wanted.select(F.col("id").alias("w_id"), F.col("text_hash").alias("w_hash")).distinct()
+    kept_texts = _only(texts, kept, same("w_id", "w_hash"), broadcast_rows).dropDuplicates(["id", "text_hash"])
+    wanted = wanted.withColumnsRenamed({"id": "w_id", "text_hash": "w_hash"})
+    with_text = dealt(kept_texts.join(wanted, same("w_id", "w_hash")).select("a", "b", "side", "uid", "signature", "copies", "text"))
+    found = stage(with_text.mapInArrow(partial(_verify, threshold), "kind long, x long, y long"), "near-links")
+    discard(met, left, reps)
 
     links = found.where("kind = 0").groupBy(F.col("x").alias("rep")).agg(F.sum("y").alias("links"))
     joined = connected_components(found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")))
     joined = joined.select(F.col("node").alias("rep"), "component")
     whole = classes.join(joined, "rep", "left").join(links, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = whole.groupBy("component").agg(F.min(F.struct("copy_id")).alias("least")).select("component", F.col("least.copy_id").alias("class_id"))
-    whole = whole.join(least, "component").select(
+    whole = stage(whole, "near-linked")
+    least = whole.groupBy("component").agg(_least_id("copy_id").alias("class_id"))
+    whole = join_groups(whole, least, ["component"], broadcast_rows=broadcast_rows).select(
         "h1", "h2", "class_id", "copy_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.col("component").alias("class_key"),
     )
@@ -304,6 +361,17 @@ def near_duplicates(
     return with_words.select(*columns).unionAll(without.select(*columns))
 
 
+def _only(rows: DataFrame, wanted: DataFrame, same: Column, broadcast_rows: int) -> DataFrame:
+    """The rows that ``same`` pairs with one of ``wanted``; they stay where they are if those are few."""
+    wanted = stage(wanted, "near-only")
+    return rows.join(F.broadcast(wanted) if is_small(wanted, broadcast_rows) else wanted, same, "left_semi")
+
+
+def _least_id(column: str) -> Column:
+    """The least value of a group; a null is the least of all."""
+    return F.when(F.count(column) == F.count("*"), F.min(column))
+
+
 def keep_first_of_class(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each class of ``found``: that of the least id.
 

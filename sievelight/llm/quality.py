@@ -196,11 +196,11 @@ def score_documents(
     host_strength = _strength(hosts, "mean", "prior")
     host_quality = (F.col("s") + host_strength * F.col("prior")) / (F.col("n") + host_strength)
     hosts = stage(hosts.select("host", host_quality.alias("host_quality")), "quality-hosts")
-    paths = join_groups(paths, hosts, ["host"], F.col("path")).withColumn("mean", F.col("s") / F.col("n"))
+    paths = join_groups(paths, hosts, ["host"]).withColumn("mean", F.col("s") / F.col("n"))
     path_strength = _strength(paths, "mean", "host_quality")
     paths = stage(paths.select("host", "path", "n", "s", "host_quality"), "quality-path-sums")
 
-    joined = join_groups(scored, paths, ["host", "path"], F.col("id"))
+    joined = join_groups(scored, paths, ["host", "path"])
     # the prior of a document's path does not hold the document itself
     others = (F.col("s") - F.col("p") + path_strength * F.col("host_quality")) / (F.col("n") - 1 + path_strength)
     others = F.least(F.greatest(others, F.lit(1e-4)), F.lit(1 - 1e-4))

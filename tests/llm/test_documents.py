@@ -161,6 +161,39 @@ def test_near_copies_in_several_blocks(spark, no_docs):
     assert near_duplicates.near_duplicates(no_docs).count() == 0
 
 
+def test_chains_of_unlike_texts_make_few_blocks(spark):
+    """Classes that bands connect one by one meet their neighbours alone, not the whole chain."""
+    n = 600
+    rows = [(k, 1, [1000 + k, 1001 + k, -k - 1]) for k in range(n)]
+    reps = spark.createDataFrame(rows, "uid long, copies long, bands array<long>")
+    met = near_duplicates.candidate_blocks(reps, 16).collect()
+    held = defaultdict(set)
+    for r in met:
+        held[r.a, r.b].add(r.uid)
+    assert all(any({k, k + 1} <= h for h in held.values()) for k in range(n - 1))
+    assert len(met) < 8 * n and max(map(len, held.values())) <= 6
+    # one band of all: chunks of bounded size, and every two of them
+    reps = spark.createDataFrame([(k, 1, [5]) for k in range(n)], "uid long, copies long, bands array<long>")
+    held = defaultdict(set)
+    for r in near_duplicates.candidate_blocks(reps, 100).collect():
+        held[r.a, r.b].add(r.uid)
+    assert len(held) == 6 * 7 // 2 and all(any({j, k} <= h for h in held.values()) for j in range(0, n, 97) for k in range(j))
+
+
+def test_links_across_chunks_of_several_homes(spark):
+    """Groups that overlap in their wording are linked as brute force links them, whatever the limits."""
+    rng = np.random.default_rng(11)
+    rows, base = [], [f"w{k}" for k in range(60)]
+    for i in range(150):
+        at = i // 3  # wording drifts, so that neighbours are alike and the ends are not
+        rows.append((i, " ".join(base[at % 60 :] + base[: at % 60] + [f"d{k}" for k in rng.integers(0, 3, 2)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(rows)
+    for block, few in ((8, 0), (8, 1000), (128, 1000)):
+        found = near_duplicates.near_duplicates(docs, block=block, broadcast_rows=few)
+        assert rows_of(found.select("doc_id", "class_id", "n_links")) == want
+
+
 def test_keep_one_of_odd_rows(odd_docs):
     kept = near_duplicates.keep_first_of_class(odd_docs, near_duplicates.near_duplicates(odd_docs))
     assert kept.columns == odd_docs.columns
