@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +67,16 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public vocabulary; only the queries that encode need the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents by the 50k byte-level vocabulary."""
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +93,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as framed ids and read back."""
     folder = new_path(spark, "token-records")
-    token_records.write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    token_records.write_records(table(spark, sf_dir, "documents"), folder, vocabulary())
     return token_records.read_records(spark, folder, digest=True)
 
 
@@ -131,4 +137,4 @@ k AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PAR
 n AS (SELECT x AS doc_id, count(*) AS n FROM l GROUP BY x)
 SELECT doc_id, class_id, copy_id, coalesce(n.n, 0) AS n_links FROM c JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op1_chat": _OP1_SQL, "op8_licenses": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op1_chat": _OP1_SQL, "op3_decontamination": decontamination.oracle(), "op8_licenses": licenses.oracle()}

@@ -266,12 +266,12 @@ def test_every_placement_is_found():
 
     for n, k in ((13, 2), (15, 3), (16, 3), (17, 3)):
         item = [f"v{i}" for i in range(n)]
-        table = decontamination.SeedTable([7], [" ".join(item)])
+        own, _ = decontamination.word_hashes([" ".join(item)])
         for wrong in combinations(range(1, n - 1), k):
             text = ["before", "it", *("x" if i in wrong else w for i, w in enumerate(item)), "after"]
             words, _ = decontamination.word_hashes([" ".join(text)])
-            place, _, at = table.hits(words)
-            assert set((place - at).tolist()) == {2} and table.overlap(words, 0, 2) == (2, 0, n, n - k), wrong
+            met = {(p, a) for m in decontamination.MASKS for a, x in enumerate(decontamination.seeds(own, m)) for p in np.flatnonzero(decontamination.seeds(words, m) == x)}
+            assert {p - a for p, a in met} == {2} and decontamination.overlap(words, own, 2) == (2, 0, n, n - k), wrong
 
 
 def test_longest_stretch_between_equal_words():
@@ -286,9 +286,9 @@ def test_longest_stretch_between_equal_words():
     masks += [(rng.random(n) < p).astype(int).tolist() for n in (5, 13, 16, 25, 40) for p in (0.6, 0.75, 0.85) for _ in range(40)]
     for same in masks:
         item = [f"v{i}" for i in range(len(same))]
-        table = decontamination.SeedTable([0], [" ".join(item)])
+        own, _ = decontamination.word_hashes([" ".join(item)])
         words, _ = decontamination.word_hashes([" ".join(w if s else "x" for w, s in zip(item, same))])
-        found, want = table.overlap(words, 0, 0), brute(same)
+        found, want = decontamination.overlap(words, own, 0), brute(same)
         assert (found is not None) == (want > 0), same
         if found and len(same) > 13:
             start, at, n, equal = found
@@ -311,9 +311,9 @@ def test_overlaps(spark, odd_docs, no_docs):
     ]
     bench = spark.createDataFrame([(i, " ".join(w).upper()) for i, w in items] + [(9, None), (10, "...")], "item_id long, text string")
     table = spark.createDataFrame([(i, ", ".join(w)) for i, w, _ in docs], "doc_id long, text string")
-    for block in (64 << 20, 100):
+    for few in (0, 1000):
         found = defaultdict(set)
-        for r in decontamination.find_overlaps(table, bench, block_chars=block).collect():
+        for r in decontamination.find_overlaps(table, bench, broadcast_rows=few).collect():
             found[r.doc_id].add(r.item_id)
         assert {i: found.get(i, set()) for i, _, _ in docs} == {i: s for i, _, s in docs}
     assert sorted(r.doc_id for r in decontamination.decontaminate(table, bench).collect()) == [4, 5, 7]
@@ -323,6 +323,67 @@ def test_overlaps(spark, odd_docs, no_docs):
     assert decontamination.decontaminate(odd_docs, bench.limit(0)).count() == odd_docs.count()
 
 
+def brute_overlaps(rows, items):
+    """Every item laid on every document in every way."""
+    found = {}
+    for i, text in rows:
+        w = WORD.findall((text or "").lower())
+        for j, item in items:
+            v = WORD.findall((item or "").lower())
+            need, best = min(13, len(v)), None
+            for shift in range(-len(v) + 1, len(w)):
+                lo, hi = max(0, -shift), min(len(v), len(w) - shift)
+                same = [w[p + shift] == v[p] for p in range(lo, hi)]
+                if len(same) < need or sum(same) < 0.8 * need - 1e-9 or not any(same):
+                    continue
+                at = [k for k, s in enumerate(same) if s]
+                fits = [(b - a + 1, -a) for x, a in enumerate(at) for y, b in enumerate(at[x:]) if b - a + 1 >= need and 5 * (y + 1) >= 4 * (b - a + 1)]
+                if fits:
+                    n, a = max(fits)
+                    n, a = n, -a
+                    key = (sum(same[a : a + n]), -(lo + a + shift), -(lo + a), n)
+                elif len(v) <= 13 and 5 * len(at) >= 4 * len(v):
+                    key = (len(at), -(lo + at[0] + shift), -(lo + at[0]), at[-1] - at[0] + 1)
+                else:
+                    continue
+                best = max(best or key, key)
+            if best:
+                found[i, j] = (-best[1], -best[2], best[3], best[0])
+    return found
+
+
+def test_overlaps_against_brute_force(spark):
+    rng = np.random.default_rng(23)
+    word = lambda k: f"v{k}"
+    items = [(j, " ".join(map(word, rng.integers(0, 60, n)))) for j, n in enumerate((40, 28, 22, 17, 15, 13, 9, 6, 4, 1))]
+    rows = []
+    for i in range(160):
+        own = list(map(word, rng.integers(0, 60, rng.integers(0, 60))))
+        taken = items[int(rng.integers(0, 9))][1].split()
+        a = int(rng.integers(0, max(1, len(taken) - 12)))
+        taken = taken[a : a + int(rng.integers(10, 41))]
+        for at in range(len(taken)):
+            if rng.random() < 0.16:
+                taken[at] = "changed"
+        own[len(own) // 2 : len(own) // 2] = taken
+        rows.append((i, ". ".join(own)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_overlaps(rows, items)
+    for few in (0, 10_000):
+        got = {(r.doc_id, r.item_id): (r.doc_start, r.item_start, r.n_words, r.n_equal) for r in decontamination.find_overlaps(docs, bench, broadcast_rows=few).collect()}
+        assert got == want
+    assert len(want) > 80 and len({j for _, j in want}) >= 8
+
+
+def test_common_passages_keep_their_overlaps(spark):
+    """One passage in every item and document: every pair is found."""
+    passage = " ".join(f"p{k}" for k in range(14))
+    items = spark.range(40).select(F.col("id").alias("item_id"), F.concat(F.lit("i"), "id", F.lit(f" {passage} j"), "id").alias("text"))
+    docs = spark.range(60).select((F.col("id") % 50).alias("doc_id"), F.concat(F.lit("d"), F.col("id") % 50, F.lit(f" {passage} and {passage}")).alias("text"))
+    for few in (0, 10_000):
+        assert decontamination.find_overlaps(docs, items, broadcast_rows=few).count() == 2000
+
+
 # ---- fingerprints
 
 
