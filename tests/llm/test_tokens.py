@@ -55,6 +55,20 @@ def test_counts_are_kept(spark, odd_docs, tmp_path):
     assert first == 5 and n < digests == spark.read.parquet(cache).count()  # only misses were appended
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_only_distinct_misses_are_encoded(spark, tmp_path, broadcast_rows):
+    """What is appended is what the encoder was asked for: one row a digest, whatever ids repeat."""
+    one, two = "a text that comes very often", "another one"
+    rows = [(None, one)] * 40 + [(7, one)] * 30 + [(None, two)] * 20 + [(3, two), (3, "third"), (4, "third"), (5, None), (6, ""), (8, "alone")]
+    docs, cache = spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/cache"
+    for extra in ([], [(9, one), (9, "late"), (None, "late"), (None, "late")]):
+        more = docs.unionByName(spark.createDataFrame(extra, docs.schema)) if extra else docs
+        got = token_counts.count_tokens(more, PATH, cache, broadcast_rows=broadcast_rows)
+        assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got.collect()), key=repr) == expected(more.collect())
+    stored = spark.read.parquet(cache)
+    assert stored.count() == stored.select("digest").distinct().count() == 6
+
+
 def test_no_documents(spark, no_docs, tmp_path):
     assert token_counts.count_tokens(no_docs, PATH).count() == 0
     token_records.write_records(no_docs, f"file://{tmp_path}/r", PATH)
