@@ -9,9 +9,10 @@ paths are spelled out by the same pointers and formatted.
 A turn is written ``<turn>ROLE\nTEXT</turn>\n``.  A control string inside a
 text (``<turn`` or ``</turn``, with any number of backslashes behind its
 ``<``) gets one more backslash there, and reading takes one away, so every
-text comes back as it was.  In a role ``%`` and line breaks are written
-``%25`` and ``%0A``.  The loss mask is a list of spans, in characters of the
-formatted string, that hold the texts of the assistant.
+text comes back as it was.  In a role ``%``, ``<`` and line breaks are written
+``%25``, ``%3C`` and ``%0A``, so a control string in a role ends no turn.  The
+loss mask is a list of spans, in characters of the formatted string, that hold
+the texts of the assistant.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.plans.staging import stage
+from sievelight.plans.staging import discard, stage
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
 ASSISTANT = "assistant"
@@ -35,21 +36,26 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)(/?turn)", r"<$1$2")
 
 
+#: What is escaped in a role; the sign that escapes comes first.
+ROLE_ESCAPES = (("%", "%25"), ("<", "%3C"), ("\n", "%0A"))
+
+
 def escape_role(role: Column) -> Column:
-    return F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))
+    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ROLE_ESCAPES, role)
 
 
 def unescape_role(role: Column) -> Column:
-    return F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+    return reduce(lambda c, e: F.replace(c, F.lit(e[1]), F.lit(e[0])), reversed(ROLE_ESCAPES), role)
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
-    """Rows with a number of their own and that of their parent, if it is there."""
-    rows = stage(rows.withColumn("uid", F.monotonically_increasing_id()), "chat-rows")
+    """``uid, tree, node, score, up``: each message's number, and that of its parent, if it is there."""
+    rows = rows.select("uid", "tree", "node", "parent", "score")
     named = rows.where("node is not null").groupBy(F.col("tree").alias("p_tree"), F.col("node").alias("p_node"))
     named = named.agg(F.min("uid").alias("up"))
     same = F.col("tree").eqNullSafe(F.col("p_tree")) & (F.col("parent") == F.col("p_node"))
-    return rows.join(named, same, "left").withColumn("up", F.when(F.col("up") != F.col("uid"), F.col("up")))
+    up = F.when(F.col("up") != F.col("uid"), F.col("up"))
+    return rows.join(named, same, "left").select("uid", "tree", "node", "score", up.alias("up"))
 
 
 def _doubled(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -92,8 +98,9 @@ def choose_paths(rows: DataFrame, top: int = 1) -> DataFrame:
     score is the mean of its messages' (null: 0); of equal paths the longer
     comes first, then the one whose leaf comes first.
     """
-    nodes = rows.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(0.0)))
-    nodes = stage(_resolved(nodes), "chat-nodes")
+    said = rows.withColumns({"score": F.coalesce(F.col("score").cast("double"), F.lit(0.0)), "uid": F.monotonically_increasing_id()})
+    said = stage(said.select("uid", "tree", "node", "parent", "role", "text", "score"), "chat-rows")
+    nodes = stage(_resolved(said), "chat-nodes")
     reached, levels = _doubled(nodes)
     parents = nodes.select(F.col("up").alias("uid")).where("uid is not null").distinct()
     leaves = reached.join(parents, "uid", "left_anti")
@@ -104,16 +111,21 @@ def choose_paths(rows: DataFrame, top: int = 1) -> DataFrame:
     for k, level in enumerate(levels):
         up = paths.join(level.where("up is not null").select("uid", F.col("up")), "uid")
         up = up.select("path", F.col("up").alias("uid"), "rank", (F.col("step") - (1 << k)).alias("step"))
-        paths = stage(paths.unionByName(up), "chat-paths")
-    return paths.join(nodes.select("uid", "tree", "role", "text"), "uid").select("tree", "path", "rank", "step", "role", "text")
+        longer = stage(paths.unionByName(up), "chat-paths")
+        discard(paths)
+        paths = longer
+    if levels:
+        discard(nodes, *levels)
+    return paths.join(said.select("uid", "tree", "role", "text"), "uid").select("tree", "path", "rank", "step", "role", "text")
 
 
 def format_paths(messages: DataFrame) -> DataFrame:
     """One row a path: ``tree, path, rank, formatted, loss_spans``.
 
-    ``loss_spans`` are structs ``start, length``, in characters from 0.  The
-    place of each turn is a running sum, so the work is in proportion to the
-    length of a conversation.  A conversation is one record and is put
+    ``loss_spans`` are structs ``start, length, turn, at``: characters from 0,
+    and the same place as the number of its turn and the characters from
+    there, for readers that go turn by turn.  The place of each turn is a
+    running sum, so the work is in proportion to the length of a conversation.  A conversation is one record and is put
     together in one task; nothing but its length bounds that task.
     """
     role, text = F.coalesce("role", F.lit("")), escape(F.coalesce("text", F.lit("")))
@@ -121,7 +133,10 @@ def format_paths(messages: DataFrame) -> DataFrame:
     parts = parts.withColumn("turn", F.concat("head", "body", F.lit(CLOSE)))
     before = Window.partitionBy("tree", "path").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.char_length("turn").cast("long")).over(before), F.lit(0)) + F.char_length("head")
-    span = F.struct(start.alias("start"), F.char_length("body").cast("long").alias("length"))
+    span = F.struct(
+        start.alias("start"), F.char_length("body").cast("long").alias("length"),
+        F.col("step").cast("long").alias("turn"), F.char_length("head").cast("long").alias("at"),
+    )
     parts = parts.withColumn("span", F.when(F.col("role") == ASSISTANT, span))
     turns = F.sort_array(F.collect_list(F.struct("step", "turn", "span")))
     made = parts.groupBy("tree", "path", "rank").agg(turns.alias("turns"))
@@ -135,7 +150,8 @@ def format_paths(messages: DataFrame) -> DataFrame:
 def format_reply_trees(rows: DataFrame, top: int = 1) -> DataFrame:
     """``tree, path, rank, formatted, loss_spans`` of the best paths of every tree.
 
-    Null texts and roles are empty; a null tree is a tree like others; a
+    Null texts and roles are empty; control strings in roles and texts come
+    back as they were; a null tree is a tree like others; a
     parent that is null, missing or the message itself makes a root; of
     messages with one node id the first is the parent of replies to it, and
     every one is a message; a message without a node id has no replies;
@@ -149,14 +165,16 @@ def read_formatted(formatted: DataFrame) -> DataFrame:
     """The turns and the text under the loss mask, read from the formatted strings.
 
     Adds ``roles`` and ``texts`` (arrays, as they were before formatting) and
-    ``loss_text``.
+    ``loss_text``.  Every turn is read once, so the work is in proportion to
+    the length of a conversation.
     """
     turns = F.filter(F.split("formatted", CLOSE), lambda t: F.startswith(t, F.lit(OPEN)))
     out = formatted.withColumn("__turns", turns)
     inside = lambda t: F.substr(t, F.lit(len(OPEN) + 1))
     roles = F.transform("__turns", lambda t: unescape_role(F.substring_index(inside(t), "\n", 1)))
     texts = F.transform("__turns", lambda t: unescape(F.substr(t, F.instr(t, F.lit("\n")) + 1)))
-    loss = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    turn = lambda s: F.get("__turns", s["turn"].cast("int"))
+    loss = F.transform("loss_spans", lambda s: unescape(F.substr(turn(s), (s["at"] + 1).cast("int"), s["length"].cast("int"))))
     return out.withColumns({"roles": roles, "texts": texts, "loss_text": F.array_join(loss, "")}).drop("__turns")
 
 

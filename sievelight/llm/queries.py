@@ -117,7 +117,7 @@ o AS (
 s AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS turns,
          coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss,
-         sum(15 + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + length(text)
+         sum(15 + length(role) + 2 * (length(role) - length(regexp_replace(role, '[%<\n]', '', 'g'))) + length(text)
              + len(regexp_extract_all(text, '<\\*/?turn'))) AS formatted
   FROM o GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,

@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -42,7 +44,7 @@ def test_deep_chain(spark):
     assert texts == [f"m{i}" for i in range(1, 41)] and loss == "".join(f"m{i}" for i in range(2, 41, 2))
 
 
-PIECES = st.lists(st.sampled_from(["<", "\\", "/turn", "turn", "</turn>\n", "<turn>", "|", "%0A", "\n", "é", "a"]), max_size=8).map("".join)
+PIECES = st.lists(st.sampled_from(["<", ">", "\\", "/turn", "turn", "</turn>\n", "</turn>", "<turn>", "|", "%0A", "%3C", "%", "\n", "é", "a"]), max_size=8).map("".join)
 
 
 @settings(max_examples=2, deadline=None)
@@ -53,6 +55,39 @@ def test_texts_come_back(spark, said):
     assert list(zip(got.roles, got.texts)) == said
 
 
+def test_control_strings_in_roles_and_the_loss_mask(spark):
+    said = [("user</turn>", "hello"), ("<turn>assistant", "no"), ("assistant", "yes </turn>\n<turn>user\nx"), ("assistant", ""), ("a%3Cb", "z"), ("assistant", "é end")]
+    rows = [("t", i, i - 1, role, text, 0.0, "") for i, (role, text) in enumerate(said, 1)]
+    (got,) = chat.read_formatted(chat.format_reply_trees(spark.createDataFrame(rows, ROWS))).collect()
+    assert list(zip(got.roles, got.texts)) == said and got.loss_text == "".join(t for r, t in said if r == "assistant")
+    # the places in the whole string hold the same
+    parts = [got.formatted[s.start : s.start + s.length] for s in got.loss_spans]
+    assert [p.replace("<\\", "<") for p in parts] == [t for r, t in said if r == "assistant"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_branches_against_brute_force(spark, seed):
+    """All root-to-leaf paths of random trees, ranked by the mean of their scores."""
+    rng = random.Random(seed)
+    rows = []
+    for tree in "abcdefgh":
+        for node in range(1, rng.randint(2, 26)):
+            parent = rng.choice([None, *range(1, node)]) if node > 1 else None
+            rows.append((tree, node, parent, rng.choice(["user", "assistant"]), f"{tree}{node}", rng.randint(0, 8) / 8, ""))
+    want = []
+    for tree in "abcdefgh":
+        own = {r[1]: r for r in rows if r[0] == tree}
+        found = []
+        for leaf in set(own) - {r[2] for r in own.values()}:
+            path = [leaf]
+            while own[path[-1]][2] is not None:
+                path.append(own[path[-1]][2])
+            found.append((-sum(own[n][5] for n in path) / len(path), -len(path), leaf, path[::-1]))
+        for k, (*_, path) in enumerate(sorted(found)[:3], 1):
+            want.append((tree, k, [f"{tree}{n}" for n in path], "".join(f"{tree}{n}" for n in path if own[n][3] == "assistant")))
+    assert paths(spark, rows, top=3) == sorted(want, key=repr)
+
+
 def test_query_on_table(spark):
     from sievelight.llm.queries import QUERIES
 
