@@ -1,13 +1,16 @@
-"""License scans by the shingles of overlapping text windows.
-
-Texts are cut into overlapping windows of eight words, four words apart, so a
-window holds the four shingles of five words that begin in its first half and
-every shingle lies in one.
-
-A window retrieves each template that has one of its four shingles, so none
-is missed.  Each retrieved template is then verified around its window: the
-share of its shingles that occur there must reach the threshold.  Everything
-is a DataFrame expression.
+"""License scans by MinHash bands over overlapping text windows.
+
+Texts are cut into overlapping windows of six words, two words apart, so a
+window holds the two shingles of five words that begin in its first half and
+every shingle lies in one window.  A window has one MinHash value a band: the
+least of its shingles' hashes under the band's own hash function.  A template
+is indexed by its windows of one shingle each.  So a text window that has a
+shingle of a template shares any one band with it with probability 1/2, and
+none of ``BANDS`` of them with probability 2**-20, about one in a million.
+
+Windows retrieve templates by these bands.  Each retrieved template is then
+verified around its window: the share of its shingles that occur there must
+reach the threshold.  Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -17,14 +20,51 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.plans.sizing import BROADCAST_ROWS
+from sievelight.plans.sizing import BROADCAST_ROWS, is_small, join_groups
 from sievelight.plans.staging import stage
 
-SHINGLE, STRIDE = 5, 4
+SHINGLE, STRIDE, BANDS = 5, 2, 20
 THRESHOLD = 0.8
-#: Template words searched at a time.
-BLOCK_WINDOWS = 4_000
+#: Template words searched at a time; each block is a scan of all texts.
+BLOCK_WORDS = 10_000
+
+# Whole texts of public licenses (without the holders' names).
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD2_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD3_CLAUSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+BSD3_TEXT = BSD2_TEXT.replace("\n\nTHIS SOFTWARE", f"\n\n{BSD3_CLAUSE}\n\nTHIS SOFTWARE")
+ZLIB_TEXT = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BOOST_TEXT = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."""
 # Well-known wordings of public licenses.
 TEMPLATES = (
     ("mit-line", "MIT", "Released under the MIT License"),
@@ -47,6 +87,8 @@ TEMPLATES = (
     ("cc-by-nc-line", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nd-line", "CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
     ("cc-by-name", "CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("mit-text", "MIT", MIT_TEXT), ("isc-text", "ISC", ISC_TEXT), ("bsd-2-text", "BSD-2-Clause", BSD2_TEXT), ("bsd-3-text", "BSD-3-Clause", BSD3_TEXT),
+    ("zlib-text", "Zlib", ZLIB_TEXT), ("unlicense-text", "Unlicense", UNLICENSE_TEXT), ("boost-text", "BSL-1.0", BOOST_TEXT),
 )
 
 #: What stands between words: ASCII that is neither a letter, a digit nor an underscore.
@@ -63,7 +105,7 @@ def _shingle(words: Column, at: Column) -> Column:
 
 
 def _windows(words: Column) -> Column:
-    """Structs ``at, h0 ... h3``; a missing shingle repeats the first one."""
+    """Structs ``at, h0, h1 ...``, a hash for each shingle that begins in the window; a missing one repeats the first."""
     last = F.size(words) - SHINGLE
 
     def window(at: Column) -> Column:
@@ -74,6 +116,12 @@ def _windows(words: Column) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(STRIDE)), window))
 
 
+def _band(k: int, shingles: list[Column]) -> Column:
+    """The MinHash value of a band: the least of the shingles under the hash function that ``k`` seeds."""
+    hashes = [F.xxhash64(F.lit(k), h) for h in shingles]
+    return F.least(*hashes) if len(hashes) > 1 else hashes[0]
+
+
 def template_table(spark) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "template string, license string, text string")
 
@@ -84,7 +132,7 @@ def scan_licenses(
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = THRESHOLD,
-    block_windows: int = BLOCK_WINDOWS,
+    block_words: int = BLOCK_WORDS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``id_col, text_hash, template, license, containment, first_word``, a row for each template in a document.
@@ -96,7 +144,9 @@ def scan_licenses(
     occurs.  Null texts and those of under five words have no rows; null and
     repeated ids keep theirs, rows that are equal in all give one result;
     empty tables give no rows; other columns are ignored.  Templates are
-    searched in blocks of ``block_windows`` words, each against all texts.
+    searched in blocks of ``block_words`` words, each against all texts, and a
+    text longer than that is a block of its own.  A window misses a template
+    that it has a shingle of with probability 2**-20.
     """
     spark = docs.sparkSession
     known = templates.select("template", "license", words_of(F.coalesce("text", F.lit(""))).alias("words"))
@@ -118,20 +168,25 @@ def scan_licenses(
     sizes = known.select("template", F.col("n_words")).orderBy("template").toLocalIterator()
     blocks, held = [[]], 0
     for t in sizes:
-        if blocks[-1] and held + t.n_words > block_windows:
+        if blocks[-1] and held + t.n_words > block_words:
             blocks.append([])
             held = 0
         blocks[-1].append(t.template)
         held += t.n_words
     for block in blocks:
         part = known.where(F.col("template").isin(block)) if block else known.limit(0)
-        index = stage(part.select("template", F.explode("shingles").alias("key")), "license-index")
-        keys = [r.key for r in index.select("key").distinct().collect()]  # at most block_windows, or those of one template
-        if not keys:
+        bands = lambda held: F.explode(F.array(*[F.struct(F.lit(k).alias("band"), _band(k, held).alias("key")) for k in range(BANDS)]))
+        single = part.select("template", F.explode("shingles").alias("h")).select("template", bands([F.col("h")]).alias("b"))
+        index = stage(single.select("template", "b.*").distinct(), "license-index")
+        # a window can share a band only if it has a shingle of the block, so bands are made for those windows alone
+        own = [r.h for r in part.select(F.explode("shingles").alias("h")).distinct().collect()]  # at most block_words
+        if not own:
             continue
-        met = reduce(lambda a, b: a | b, [h.isin(keys) for h in held_by])
-        hits = windows.where(met).select("id", "text_hash", "at", F.explode(F.array_distinct(F.array(*held_by))).alias("key"))
-        found.append(hits.join(F.broadcast(index), "key").select("id", "text_hash", "at", "template").distinct())
+        listed = ", ".join(f"{h}L" if h > -(1 << 63) else "bigint('-9223372036854775808')" for h in own)
+        near = windows.where(" OR ".join(f"h{k} IN ({listed})" for k in range(STRIDE)))
+        near = near.select("id", "text_hash", "at", bands(held_by).alias("b")).select("id", "text_hash", "at", "b.*")
+        few = is_small(index, broadcast_rows)
+        found.append(near.join(F.broadcast(index) if few else index, ["band", "key"]).select("id", "text_hash", "at", "template").distinct())
     if not found:
         found = [windows.limit(0).select("id", "text_hash", "at", F.lit("").alias("template"))]
     hits = stage(reduce(DataFrame.unionAll, found), "license-hits")
@@ -139,13 +194,15 @@ def scan_licenses(
     # verification reads the texts of the hits again
     hit_rows = stage(hits.select(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(), "license-texts")
     same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
-    few = hit_rows.limit(broadcast_rows + 1).count() <= broadcast_rows
-    texts = rows.join(F.broadcast(hit_rows) if few else hit_rows, same, "left_semi").dropDuplicates(["id", "text_hash"])
+    texts = rows.join(F.broadcast(hit_rows) if is_small(hit_rows, broadcast_rows) else hit_rows, same, "left_semi").dropDuplicates(["id", "text_hash"])
     texts = texts.select(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), words_of(F.col("text")).alias("doc_words"))
-    checked = hits.join(known.select("template", "license", "shingles", "n_words"), "template").join(texts, same)
+    # of a document only the words around a hit go on, so a long one is not copied to each of its hits
+    sized = join_groups(hits, known.select("template", "n_words"), ["template"], broadcast_rows=broadcast_rows)
     begin = F.greatest(F.lit(0), F.col("at") - F.col("n_words"))
     length = F.col("n_words") + F.col("at") - begin + SHINGLE + STRIDE - 1
-    checked = checked.withColumn("near", F.slice("doc_words", begin + 1, length)).drop("doc_words")
+    cut = sized.join(texts, same).select("id", "text_hash", "at", "template", F.slice("doc_words", begin + 1, length).alias("near"))
+    cut = stage(cut, "license-near")
+    checked = join_groups(cut, known.select("template", "license", "shingles"), ["template"], broadcast_rows=broadcast_rows)
     near = F.transform(F.sequence(F.lit(0), F.size("near") - SHINGLE), lambda k: _shingle(F.col("near"), k))
     shared = F.size(F.array_intersect(near, F.col("shingles"))) / F.size("shingles")
     checked = checked.select("id", "text_hash", "at", "template", "license", shared.alias("containment"))
@@ -157,7 +214,7 @@ def scan_licenses(
 
 
 def oracle(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same in SQL over ``documents``: every window that shares a shingle is verified."""
+    """The same in SQL over ``documents``, without bands: every window that shares a shingle is verified."""
     quoted = ", ".join("({})".format(", ".join("'" + v.replace("'", "''") + "'" for v in t)) for t in templates)
     words = "[x FOR x IN string_split_regex(lower({}), '[\\x00-/:-@\\[-^`{{-\\x7f]+') IF x <> '']"
     return f"""
@@ -166,8 +223,8 @@ ts AS (SELECT template, license, len(w) AS n, list_distinct([w[k : k + 4] FOR k
 d AS (SELECT doc_id, {words.format("text")} AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS k, w FROM d WHERE len(w) >= 5),
 one AS (SELECT template, unnest(s) AS s FROM ts),
-hits AS (SELECT DISTINCT doc_id, template, (k - 1) // 4 * 4 AS p FROM g JOIN one ON g.w[k : k + 4] = one.s),
-near AS (SELECT h.*, ts.license, ts.n, ts.s, d.w[greatest(0, p - n) + 1 : p + n + 8] AS r
+hits AS (SELECT DISTINCT doc_id, template, (k - 1) // {STRIDE} * {STRIDE} AS p FROM g JOIN one ON g.w[k : k + 4] = one.s),
+near AS (SELECT h.*, ts.license, ts.n, ts.s, d.w[greatest(0, p - n) + 1 : p + n + {SHINGLE + STRIDE - 1}] AS r
          FROM hits h JOIN ts USING (template) JOIN d USING (doc_id)),
 c AS (SELECT doc_id, p, template, license,
              len(list_intersect(list_distinct([r[k : k + 4] FOR k IN range(1, len(r) - 3)]), s)) / len(s) AS containment FROM near),

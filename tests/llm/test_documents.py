@@ -449,6 +449,32 @@ def test_short_licenses_in_any_surroundings(spark):
     assert {r["template"]: r["count"] for r in found} == {"mit-line": 4000, "cc-by-line": 4000}
 
 
+def test_bands_retrieve_at_the_stated_probability(spark):
+    """A shingle beside a random one shares each band half of the time, and misses k of them 2**-k of the time."""
+    n, bands = 20_000, 8
+    pairs = spark.range(n).select(F.xxhash64(F.lit(1), "id").alias("h0"), F.xxhash64(F.lit(2), "id").alias("h1"))
+    same = F.array(*[licenses._band(k, [F.col("h0"), F.col("h1")]) == licenses._band(k, [F.col("h0")]) for k in range(bands)])
+    rows = pairs.select(F.size(F.filter(same, lambda x: x)).alias("n")).groupBy("n").count().collect()
+    seen = {r.n: r["count"] for r in rows}
+    assert abs(sum(k * c for k, c in seen.items()) / (n * bands) - 0.5) < 0.01
+    assert abs(seen.get(0, 0) - n / 2**bands) < 4 * (n / 2**bands) ** 0.5
+
+
+def test_whole_license_texts(spark):
+    """A whole text is found in other surroundings, also where a few words differ, and in blocks of any size."""
+    templates = licenses.template_table(spark)
+    fill = " ".join(f"u{k}" for k in range(30))
+    texts = [(k, f"{fill}\n{text}\n{fill}", name) for k, (name, _, text) in enumerate(licenses.TEMPLATES) if name.endswith("-text")]
+    changed = licenses.MIT_TEXT.replace("portions", "parts").replace("substantial", "large")
+    texts += [(90, f"Copyright (c) Somebody\n\n{changed}", "mit-text"), (91, licenses.MIT_TEXT[: len(licenses.MIT_TEXT) // 2], None)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    for words in (300, 10_000):
+        found = defaultdict(set)
+        for r in licenses.scan_licenses(docs, templates, block_words=words).collect():
+            found[r.doc_id].add(r.template)
+        assert all(want in found[i] for i, _, want in texts if want) and "mit-text" not in found[91]
+
+
 # ---- quality
 
 
