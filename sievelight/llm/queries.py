@@ -137,4 +137,4 @@ k AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PAR
 n AS (SELECT x AS doc_id, count(*) AS n FROM l GROUP BY x)
 SELECT doc_id, class_id, copy_id, coalesce(n.n, 0) AS n_links FROM c JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op1_chat": _OP1_SQL, "op3_decontamination": decontamination.oracle(), "op8_licenses": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op1_chat": _OP1_SQL, "op3_decontamination": decontamination.oracle(), "op6_mix": mixing.oracle(), "op8_licenses": licenses.oracle()}

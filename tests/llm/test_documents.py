@@ -1,7 +1,10 @@
 """Sharding, mixing, near copies, decontamination, fingerprints, licenses and quality against brute force."""
 
+import hashlib
+import math
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -68,9 +71,15 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert rows_of(mixing.mix_sources(odd_docs)) == sorted(map(tuple, found), key=repr)
     assert all(0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size for r in found)
     assert mixing.mix_sources(no_docs).count() == 0
-    n = sum(r.copies for r in found)
-    applied = mixing.apply_mix(odd_docs, mixing.mix_sources(odd_docs))
-    assert applied.columns == odd_docs.columns and abs(applied.count() - n) <= 2
+    for few in (0, 1000):
+        applied = mixing.apply_mix(odd_docs, mixing.plan_mix(odd_docs, broadcast_rows=few)[0])
+        assert applied.dtypes == odd_docs.dtypes
+        want = Counter()
+        for r in found:
+            want[r.doc_id, r.text_hash] += r.copies
+        got = Counter((r.doc_id, r.h) for r in applied.select("doc_id", F.xxhash64("text").alias("h")).collect())
+        assert got == +want
+    assert mixing.apply_mix(no_docs, mixing.plan_mix(no_docs)[0]).count() == 0
 
 
 def test_targets_and_taken(spark):
@@ -97,6 +106,37 @@ def test_targets_and_taken(spark):
     assert all(abs(taken[n] - target[n]) <= 13 for n in names)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_mix_against_brute_force(spark, few):
+    """Every row's copies, with weights far apart, repeated rows, null ids and sources, and ranges refined to single rows."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(200)]), " ".join("w" * rng.randint(0, 9)), rng.choice([None, "a", "b", "hot", "hot", "hot"])) for _ in range(500)]
+    rows += [(7, "w w w", "hot")] * 120 + [(None, "w w", "b")] * 40
+    weights = [(k, 10.0 ** rng.randint(-3, 3)) for k in range(150)] + [(None, 1e6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    quality_ = spark.createDataFrame(weights, "doc_id long, weight double")
+    found = mixing.mix_sources(docs, quality_, rows_a_range=5, broadcast_rows=few)
+    got = Counter((r.doc_id, r.source, r.size, r.copies) for r in found.collect())
+    target = {r.source: (r.source_size, r.target) for r in found.collect()}
+    seen, by_source, known = Counter(), defaultdict(list), dict(weights)
+    for i, text, source in rows:
+        key = ":".join(("17", "null" if i is None else str(i), hashlib.md5(text.encode()).hexdigest(), str(seen[i, text, source])))
+        seen[i, text, source] += 1
+        u = (int(hashlib.md5(key.encode()).hexdigest()[:13], 16) + 0.5) * 2.0**-52
+        by_source[source].append((math.log(-math.log(u)) - math.log(1.0 if i is None else known.get(i, 1.0)), i is not None, i or 0, len(text.split()), i))
+    want = Counter()
+    for source, drawn in by_source.items():
+        size, goal = target[source]
+        epochs = int(goal // size)
+        rest, before = goal - epochs * size, 0
+        for _, _, _, n, i in sorted(drawn):
+            want[i, source, n, epochs + (before + n / 2 <= rest)] += 1
+            before += n
+    assert got == want
+    applied = mixing.apply_mix(docs, mixing.plan_mix(docs, quality_, rows_a_range=5, broadcast_rows=few)[0])
+    assert applied.count() == sum(c * n for (*_, c), n in want.items())
+
+
 def test_better_documents_are_taken_more_often(spark):
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b c").alias("text"))
     weights = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(0.25).alias("weight"))
@@ -391,8 +431,6 @@ def test_edited_texts(odd_docs, no_docs):
     order = sorted(((r.doc_id, r.text or "") for r in odd_docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     texts = [t for _, t in order]
     nexts = texts[1:] + texts[:1]
-    import hashlib
-
     want = sorted(
         (str(i), len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()) for (i, t), n in zip(order, nexts)
     )
