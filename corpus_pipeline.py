@@ -9,15 +9,12 @@ shared folder.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sievelight.llm import decontamination, mixing, near_duplicates, quality, token_records
-from sievelight.llm.queries import quality_weights, table
+from sievelight.llm.queries import quality_weights, table, vocabulary
 from sievelight.plans.staging import new_path, stage
 
-TOKENIZER = "byte_bpe_50k.json"
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -37,13 +34,14 @@ def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come in their target shares; a document comes as often as the mix holds it."""
-    return mixing.apply_mix(docs, mixing.mix_sources(docs, quality_weights(table(spark, sf_dir, "labels"))))
+    mix, _ = mixing.plan_mix(docs, quality_weights(table(spark, sf_dir, "labels")))
+    return mixing.apply_mix(docs, mix)
 
 
 def write_token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in framed records, as read back from the files."""
     folder = new_path(spark, "pipeline-records")
-    token_records.write_records(docs, folder, public_tokenizers.path(TOKENIZER))
+    token_records.write_records(docs, folder, vocabulary())
     return token_records.read_records(spark, folder, digest=True)
 
 
