@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from sievelight.llm.arrow import slices
 from sievelight.llm.hashing import batches, shingle_hashes, word_hashes
+from sievelight.llm.ranges import place_rows, plan_ranges, sized
+from sievelight.plans.staging import discard, stage
 
 EXACT_LANES, SKETCH_LANES = 16, 256
 LANES = EXACT_LANES + SKETCH_LANES
 #: Words of a sketched run.
 RUN = 3
-#: Input partitions that share a range of documents.
-PARTITIONS_A_RANGE, LEAST_RANGES = 1, 64
+#: Ranges of documents, at least; more as their bytes call for it.
+LEAST_RANGES = 64
 
 
 def paragraphs(text: str | None) -> list[str]:
@@ -141,38 +143,38 @@ _SCHEMA = (
 )
 
 
-def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = LEAST_RANGES) -> DataFrame:
     """Fingerprints of all texts and of edited ones, with their likeness.
 
     A text is edited by replacing its last half with the beginning of the
     next document in descending order of ids (after the last: the first).
-    Null texts are empty; of equal ids the lesser text comes first; a null id
-    comes last; a single document is its own next; other columns are ignored.
+    Null texts are empty; of equal ids the text of the greater ``xxhash64``
+    comes first; a null id comes last; a single document is its own next;
+    other columns are ignored.  Ids are integers, or texts that hold some.
 
-    Documents move once, to the range of ids that holds them.  Each range
-    also gets the first document of the range behind it.
+    Documents move once, to the range of ids that holds them; ranges have
+    nearly equal bytes, and an id with very many texts has several.  Each
+    range also gets the first document of the range behind it.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if ranges is None:
-        ranges = max(LEAST_RANGES, rows.rdd.getNumPartitions() // PARTITIONS_A_RANGE)
-    # a null id counts as below all others
-    order = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
-    # no quantile is asked for where one range takes all
-    edges = rows.select("id").stat.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    edges = sorted({int(e) for e in edges}, reverse=True)
-    # ranges count up as ids go down: the number of edges above the id
-    above = F.lit(len(edges)) - F.size(F.filter(F.lit(sorted(edges)).cast("array<long>"), lambda e: e <= order)) if edges else F.lit(0)
-    rows = rows.withColumn("bucket", above.cast("int")).withColumn("order", order)
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    sizes = sized(docs, id_col, text_col)
+    plan = plan_ranges(sizes, ranges)
+    discard(sizes)
+    n = plan[-1]
+    if not n:
+        return spark.createDataFrame([], _SCHEMA).withColumnRenamed("id", id_col)
+    # ranges count up as ids go down
+    rows = place_rows(rows, plan, F.col("hash")).withColumn("bucket", F.lit(n - 1) - F.col("bucket"))
     # the first document of each range: a row a range
-    firsts = rows.select("bucket", "order").groupBy("bucket").agg(F.max("order").alias("order")).orderBy("bucket").collect()
-    if not firsts:
-        return rows.sparkSession.createDataFrame([], _SCHEMA).withColumnRenamed("id", id_col)
-    heads = [(r.order, firsts[k - 1].bucket) for k, r in enumerate(firsts)]  # the first of all follows the last
-    heads = rows.sparkSession.createDataFrame(heads, "head long, before int")
-    head_rows = rows.join(F.broadcast(heads), F.col("order") == F.col("head"))
-    head_rows = head_rows.groupBy("before", "id").agg(F.min("text").alias("text"))
-    ahead = head_rows.select(F.col("before").alias("bucket"), F.lit(True).alias("ahead"), "id", "text")
-    all_rows = rows.select("bucket", F.lit(False).alias("ahead"), "id", "text").unionByName(ahead)
-    placed = all_rows.repartitionById(len(edges) + 1, F.col("bucket"))
-    placed = placed.sortWithinPartitions("bucket", "ahead", F.col("id").desc_nulls_last(), "text")
+    firsts = rows.groupBy("bucket").agg(F.max(F.struct("id", "hash")).alias("head")).orderBy("bucket").collect()
+    heads = [(r["head"].id, r["head"]["hash"], firsts[k - 1].bucket) for k, r in enumerate(firsts)]  # the first of all follows the last
+    heads = spark.createDataFrame(heads, "h_id long, h_hash long, before int")
+    head_rows = rows.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("h_id")) & (F.col("hash") == F.col("h_hash")))
+    head_rows = stage(head_rows.groupBy("before", "id", "hash").agg(F.min("text").alias("text")), "range-heads")
+    ahead = head_rows.select(F.col("before").alias("bucket"), F.lit(True).alias("ahead"), "id", "text", "hash")
+    all_rows = rows.select("bucket", F.lit(False).alias("ahead"), "id", "text", "hash").unionByName(ahead)
+    placed = all_rows.repartitionById(n, F.col("bucket"))
+    placed = placed.sortWithinPartitions("bucket", "ahead", F.col("id").desc_nulls_last(), F.col("hash").desc(), "text").drop("hash")
     return placed.mapInArrow(_compare, _SCHEMA).withColumnRenamed("id", id_col)

@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from sievelight.llm.arrow import slices
 from sievelight.llm.encoding import encoder
+from sievelight.llm.ranges import place_rows, plan_ranges, sized
+from sievelight.plans.staging import discard
 
 #: Frames are checked by CRC-32, rotated and shifted so that a checksum of
 #: data that holds checksums stays sound.
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL, LEAD = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qB")
 INDEX = np.dtype([("offset", "<u8"), ("start", "<u8"), ("n_ids", "<u4")])
-#: Input partitions that share an output file.
-PARTITIONS_A_FILE = 4
 LEAST_FILES = 48
 
 
@@ -67,18 +67,13 @@ def _filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def _encode(path: str, end_id: int | None, edges: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(path: str, end_id: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (bucket, id, ids): the bucket is the file that a document belongs to."""
-    edges = np.asarray(edges, dtype=np.int64)
-
     enc = encoder(path)
     end = b"" if end_id is None else int(end_id).to_bytes(enc.width, "little")
     for batch in slices(batches, 1):
-        ids = batch.column(0)
-        # a null id sorts before all others
-        at = np.searchsorted(edges, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
         made = [enc.encode(t.as_py()) + end for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), ids, pa.array(made, pa.binary())], names=["bucket", "id", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(made, pa.binary())], names=["bucket", "id", "ids"])
 
 
 def _write(folder: str, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,23 +123,26 @@ def write_records(
     """Encode every whole text and write it in ascending id order; returns the manifest.
 
     A null text is empty (only the end id); a null id comes first; rows with
-    one id follow in order of their token ids; an empty table gives a
-    manifest without files; other columns are ignored.  Texts are encoded
-    where they are read and only ids move, once, to the file they belong to.
+    one id stand together, in no stated order, and in several files where they
+    are many; an empty table gives a manifest without files; other columns are
+    ignored.  Ids are integers, or texts that hold some.  Files have nearly
+    equal bytes of text.  Texts are encoded where they are read and only ids
+    move, once, to the file they belong to.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if files is None:
-        files = max(LEAST_FILES, rows.rdd.getNumPartitions() // PARTITIONS_A_FILE)
-    # no quantile is asked for where one file takes all
-    edges = rows.select("id").stat.approxQuantile("id", [i / files for i in range(1, files)], 0.2 / files) if files > 1 else []
-    edges = sorted({int(e) for e in edges})
+    sizes = sized(docs, id_col, text_col)
+    plan = plan_ranges(sizes, files or LEAST_FILES)
     width = encoder(tokenizer_path).width
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
-    encoded = rows.mapInArrow(partial(_encode, tokenizer_path, end_id, edges), "bucket int, id long, ids binary")
-    placed = encoded.repartitionById(len(edges) + 1, F.col("bucket")).sortWithinPartitions("bucket", "id", "ids")
-    parts = placed.mapInArrow(partial(_write, folder, width), "bucket long, name string, n_docs long, n_ids long, n_bytes long").collect()
+    parts = []
+    if plan[-1]:
+        # equal rows of one id are spread as well
+        placed = place_rows(rows, plan, F.xxhash64("text", F.monotonically_increasing_id())).select("id", "text", "bucket")
+        encoded = placed.mapInArrow(partial(_encode, tokenizer_path, end_id), "bucket int, id long, ids binary")
+        placed = encoded.repartitionById(plan[-1], F.col("bucket")).sortWithinPartitions("bucket", "id", "ids")
+        parts = placed.mapInArrow(partial(_write, folder, width), "bucket long, name string, n_docs long, n_ids long, n_bytes long").collect()
+    discard(sizes)
     manifest = {"format": "framed-token-ids", "width": width, "end_id": end_id, "files": []}
     start = 0
     for p in sorted(parts):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.llm import decontamination, fingerprints, licenses, mixing, near_duplicates, quality, sharding
+from sievelight.llm import decontamination, fingerprints, licenses, mixing, near_duplicates, quality, ranges, sharding
 
 WORD = re.compile(r"[A-Za-z0-9_\u0080-\U0010ffff]+")
 
@@ -427,15 +427,67 @@ def test_common_passages_keep_their_overlaps(spark):
 # ---- fingerprints
 
 
+def brute_edited(docs):
+    """Every text beside its edited one, and their likeness by fingerprints that are made one by one."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    rows.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.h))
+    mark = lambda t: fingerprints.fingerprints([t])
+    out = []
+    for r, behind in zip(rows, rows[1:] + rows[:1]):
+        half = len(r.text) // 2
+        edited = r.text[: len(r.text) - half] + behind.text[:half]
+        near = [round(float(fingerprints.likeness(mark(r.text), mark(t))[0]), 9) for t in (edited, behind.text)]
+        own = [fingerprints.to_text(mark(t))[0] for t in (r.text, edited)]
+        out.append((str(r.doc_id), len(r.text), hashlib.sha256(edited.encode()).hexdigest(), *own, *near))
+    return sorted(out)
+
+
+def edited_rows(found):
+    return sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found.collect())
+
+
+def test_edited_texts_of_hot_ids(spark):
+    """Ids that many texts share, null ids among them, are split over ranges, and every text has its next one."""
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"line {k} of some words {k * k}\nand more {k % 7}") for k in range(240)]
+    rows += [((1 << 62) + k, f"far away {k}") for k in range(3)] + [(-(1 << 62), "at the other end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_edited(docs)
+    for n in (1, 7, 30):
+        assert edited_rows(fingerprints.compare_edited(docs, ranges=n)) == want
+    sizes = ranges.sized(docs, "doc_id", "text")
+    plan = ranges.plan_ranges(sizes, 30)
+    dealt = ranges.place_rows(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")), plan, F.col("h")).collect()
+    assert max(Counter(r.bucket for r in dealt).values()) <= 3 * len(rows) / 30 and max(r.bucket for r in dealt) < plan[-1]
+    in_order = sorted(dealt, key=lambda r: (r.bucket, r.id is not None, r.id or 0))
+    assert [r.id for r in in_order] == sorted((r.id for r in dealt), key=lambda i: (i is not None, i or 0))
+
+
+def test_ranges_of_bytes(spark):
+    """Ranges hold nearly equal bytes where ids are dense, far apart, or both."""
+    rng = np.random.default_rng(2)
+    ids = [*range(1000, 3000), *rng.integers(-(1 << 63), (1 << 63) - 1, 300).tolist(), -(1 << 63), (1 << 63) - 1]
+    rows = spark.createDataFrame([(int(i), 100 + int(i) % 50) for i in ids], "id long, size long")
+    plan = ranges.plan_ranges(rows, 20)
+    dealt = ranges.place_rows(rows, plan, F.xxhash64("id")).collect()
+    size = Counter()
+    for r in dealt:
+        size[r.bucket] += r["size"]
+    share = sum(size.values()) / 20
+    assert max(size.values()) <= 3 * share and len(size) >= 12
+    order = sorted(dealt, key=lambda r: (r.bucket, r.id))
+    assert [r.id for r in order] == sorted(ids)
+
+
 def test_edited_texts(odd_docs, no_docs):
-    order = sorted(((r.doc_id, r.text or "") for r in odd_docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    texts = [t for _, t in order]
+    assert edited_rows(fingerprints.compare_edited(odd_docs)) == brute_edited(odd_docs)
+    order = sorted(((r.doc_id, r.text or "", r.h) for r in odd_docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()), key=lambda r: (r[0] is None, -(r[0] or 0), -r[2]))
+    texts = [t for _, t, _ in order]
     nexts = texts[1:] + texts[:1]
     want = sorted(
-        (str(i), len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()) for (i, t), n in zip(order, nexts)
+        (str(i), len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()) for (i, t, _), n in zip(order, nexts)
     )
-    for ranges in (1, 4):
-        found = fingerprints.compare_edited(odd_docs, ranges=ranges).collect()
+    for n in (1, 4):
+        found = fingerprints.compare_edited(odd_docs, ranges=n).collect()
         assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in found) == want
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
     assert fingerprints.compare_edited(no_docs).count() == 0

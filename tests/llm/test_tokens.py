@@ -92,6 +92,18 @@ def test_records(spark, odd_docs, tmp_path):
     assert list(token_records.records_of(folder, part["name"], manifest["width"], order)) == plain[::-1]
 
 
+def test_records_of_hot_ids(spark, tmp_path):
+    """Rows of one id, equal ones among them, and rows without an id come in several files, in order of ids."""
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"some words {k % 50}") for k in range(300)]
+    folder = f"file://{tmp_path}/hot"
+    manifest = token_records.write_records(spark.createDataFrame(rows, "doc_id long, text string"), folder, PATH, files=12)
+    assert max(f["n_docs"] for f in manifest["files"]) < 80 and sum(f["n_docs"] for f in manifest["files"]) == 300
+    got = token_records.read_records(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    want = sorted((str(i), ENCODER.library.encode(t, add_special_tokens=False).ids + [0]) for i, t in rows)
+    assert sorted((str(r.doc_id), list(r.ids)) for r in got) == want
+
+
 def test_damage_is_seen():
     data = bytearray(token_records.frame(b"payload"))
     assert token_records.unframe(data, 0) == (b"payload", len(data))
