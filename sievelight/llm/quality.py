@@ -116,17 +116,28 @@ def _featurise(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = features(batch.column(0).to_pylist())
         flat = pa.array(x.reshape(-1))
         offsets = pa.array(np.arange(0, x.size + 1, FEATURES), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, flat), batch.column(1)], names=["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, flat), batch.column(1), batch.column(2)], names=["x", "y", "h"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAINING_ROWS) -> Classifier:
-    """Fit on at most ``rows`` labelled documents; a document's labels are averaged."""
+    """Fit on at most ``rows`` labelled documents; a document's labels are averaged.
+
+    Of the labels those with the least hash of their id count.  Rows equal in
+    id and text are one, and of those that are left the ``rows`` with the
+    least hash of id and text are fitted on, in that order, so that runs
+    agree.  Null ids and labels count for nothing.
+    """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where("__id is not null and __y is not null")
     known = known.groupBy("__id").agg((F.avg("__y") >= 0.5).cast("double").alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)  # the broadcast below is of so many rows at most
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(known), "__id")
-    # a document id that comes more than once adds a row each time, so the bound is kept once more
-    table = found.select("__text", "__y").mapInArrow(_featurise, "x array<double>, y double").limit(2 * rows).toArrow()
+    # a document id that comes with several texts adds a row for each, so the bound is kept once more
+    rank = found.select("__id", F.xxhash64("__id", "__text").alias("__h")).distinct().orderBy("__h", "__id").limit(rows)
+    rank = stage(rank.select(F.col("__id").alias("__i"), "__h"), "quality-sample")
+    same = (F.col("__id") == F.col("__i")) & (F.xxhash64("__id", "__text") == F.col("__h"))
+    found = found.join(F.broadcast(rank), same).groupBy("__h", "__id", "__y").agg(F.first("__text").alias("__text"))
+    made = found.select("__text", "__y", "__h").mapInArrow(_featurise, "x array<double>, y double, h long")
+    table = made.orderBy("h").toArrow()
     x = np.asarray(table.column("x").combine_chunks().flatten()).reshape(-1, FEATURES) if len(table) else np.zeros((0, FEATURES))
     return fit(x, np.asarray(table.column("y")) if len(table) else np.zeros(0))
 

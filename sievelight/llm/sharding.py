@@ -30,6 +30,8 @@ TOLERANCE = 0.001
 #: A group of equal texts above this share of a shard is placed by its size;
 #: there are at most shards / HEAVY of them.
 HEAVY = 0.002
+#: A text above this share of all rows, and in at least so many, has its rows told apart by their own numbers.
+MANY, MANY_ROWS = 0.001, 1_000
 #: Rows of a shard that one task numbers.
 ROWS_A_BUCKET, LEAST_BUCKETS = 1_000_000, 16
 
@@ -97,8 +99,9 @@ def shard_documents(
     ``size`` is the UTF-8 bytes of the text (null: none) plus one, ``slot``
     numbers the rows of a shard from 0 without gaps, in hash order.  Null
     texts are one group of equal texts, apart from empty ones; null and
-    repeated ids keep their rows; an empty table gives no rows; other columns
-    are ignored.
+    repeated ids keep their rows; rows of a text that very many rows have are
+    in the order of their places in the table; an empty table gives no rows;
+    other columns are ignored.
     """
     text, id_ = F.col(text_col), F.col(id_col)
     rows = docs.select(
@@ -112,14 +115,17 @@ def shard_documents(
     total, n_rows = rows.agg(F.sum("size"), F.count("*")).first()
     share = (total or 0) / shards
 
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > HEAVY * share)
-    heavy = [(r.key, r.bytes) for r in groups.collect()]  # at most shards / HEAVY
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    many = max(MANY_ROWS, (n_rows or 0) * MANY)
+    groups = groups.where((F.col("bytes") > HEAVY * share) | (F.col("n") > many)).collect()  # at most shards / HEAVY + 1 / MANY
+    heavy = [(r.key, r.bytes) for r in groups if r.bytes > HEAVY * share]
     spread = [k for k, b in heavy if b > share]
     placed, room = _pack([(k, b) for k, b in heavy if b <= share], shards, share)
-    marks = [(k, s, False) for k, s in placed] + [(k, None, True) for k in spread]
-    marks = docs.sparkSession.createDataFrame(marks, "key long, placed int, spread boolean")
+    where = dict(placed)
+    marks = [(r.key, where.get(r.key), r.key in spread, r.n > many) for r in groups]
+    marks = docs.sparkSession.createDataFrame(marks, "key long, placed int, spread boolean, many boolean")
     rows = rows.join(F.broadcast(marks), "key", "left")
-    row_hash = F.xxhash64("key", "id", F.when(F.col("id").isNull(), F.col("uid")))
+    row_hash = F.xxhash64("key", "id", F.when(F.col("id").isNull() | F.col("many"), F.col("uid")))
     rows = rows.withColumn("pos", F.when(F.col("spread"), _positive(row_hash)).otherwise(F.col("key")))
 
     light = total - sum(b for k, b in heavy if b <= share) if total else 0

@@ -53,6 +53,19 @@ def test_shards_are_even_and_keep_groups(spark):
     assert max(size.values()) < 1.1 * min(size.values())
 
 
+def test_shards_of_one_row_many_times(spark):
+    """Rows equal in id and text, a third of the table, are numbered in many tasks."""
+    rows = spark.range(9000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text of all").otherwise(F.concat(F.lit("t"), "id")).alias("text")
+    )
+    found = sharding.shard_documents(rows, 4).collect()
+    check_shards(found, 9000, 4)
+    size = defaultdict(int)
+    for r in found:
+        size[r.shard] += r.size
+    assert max(size.values()) < 1.05 * min(size.values())
+
+
 def test_splitters_meet_their_targets(spark):
     rng = np.random.default_rng(5)
     data = [(int(p), int(s)) for p, s in zip(rng.integers(0, 1 << 62, 2000), rng.integers(1, 50, 2000))]
@@ -576,6 +589,66 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r.keep == (r.quality == 1) for r in held) / len(held) > 0.97
 
 
+def test_runs_fit_the_same_classifier(spark):
+    """Repeated ids and rows, in any order and number of partitions, give one model."""
+    docs = spark.createDataFrame([(k % 40, f"text number {k % 60} with words {'!' * (k % 7)} {k % 3}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    models = [quality.train(d, labels, rows=30) for d in (docs, docs.orderBy(F.rand(3)).repartition(7), docs.unionByName(docs))]
+    for m in models[1:]:
+        assert (m.weights == models[0].weights).all() and m.bias == models[0].bias and m.rate == models[0].rate
+
+
+def brute_scores(docs, model, threshold=0.5):
+    """Evidence, group means by moments, and every document's posterior, in plain numbers."""
+    rows = docs.select("doc_id", "text", "source", "lang").collect()
+    logit = model.logits(quality.features([r.text for r in rows]))
+    p = 1 / (1 + np.exp(-logit))
+    total = (p.sum() + model.rate) / (len(p) + 1)
+    groups = defaultdict(list)
+    for k, r in enumerate(rows):
+        groups[r.source, r.lang].append(k)
+        groups[r.source].append(k)
+    hosts = [g for g in groups if not isinstance(g, tuple)]
+    paths = [g for g in groups if isinstance(g, tuple)]
+
+    def strength(names, prior):
+        n = np.array([len(groups[g]) for g in names], float)
+        m = np.array([p[groups[g]].mean() for g in names])
+        q = np.array([prior(g) for g in names])
+        if len(names) < 2:
+            return 10.0
+        within, whole = (n * m * (1 - m)).sum() / n.sum(), (n * q * (1 - q)).sum() / n.sum()
+        spread = ((n * (m - q) ** 2).sum() - (len(n) - 1) * within) / max(1.0, n.sum() - (n**2).sum() / n.sum())
+        return float(min(1e4, max(1.0, whole / spread - 1))) if spread > 0 else 1e4
+
+    a = strength(hosts, lambda g: total)
+    host = {g: (p[groups[g]].sum() + a * total) / (len(groups[g]) + a) for g in hosts}
+    b = strength(paths, lambda g: host[g[0]])
+    out = []
+    base = np.log(model.rate / (1 - model.rate))
+    for k, r in enumerate(rows):
+        own = groups[r.source, r.lang]
+        path = (sum(p[j] for j in own if j != k) + b * host[r.source]) / (len(own) - 1 + b)
+        path = min(max(path, 1e-4), 1 - 1e-4)
+        score = 1 / (1 + np.exp(-(logit[k] - base + np.log(path / (1 - path)))))
+        out.append((str(r.doc_id), round(p[k], 9), round(host[r.source], 9), round(path, 9), round(score, 9), bool(score >= threshold)))
+    return sorted(out)
+
+
+def test_posteriors_against_brute_force(spark, odd_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.train(docs, labels)
+    # one large host and many sparse ones, and a null one
+    more = docs.withColumn("source", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("h"), "doc_id")).when(F.col("doc_id") % 7 > 0, "hot"))
+    for table in (docs, more, odd_docs):
+        found = quality.score_documents(table, model).collect()
+        got = sorted((str(r.doc_id), round(r.evidence, 9), round(r.host_quality, 9), round(r.path_quality, 9), round(r.score, 9), r.keep) for r in found)
+        want = brute_scores(table, model)
+        for x, y in zip(got, want, strict=True):
+            assert x[0] == y[0] and x[5] == y[5] and np.allclose(x[1:5], y[1:5], rtol=1e-6, atol=1e-8), (x, y)
+
+
 def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 1), (6, 0), (6, 0), (None, 1), (3, None)], "doc_id long, quality int")
     model = quality.train(odd_docs, labels)
