@@ -3,15 +3,16 @@
 1. One pass over the texts gives each document a digest of its words, its
    MinHash signature and the band keys of it.  Documents with the same words
    are one class from here on, so copies are never expanded.
-2. Classes that share a band are candidates.  Each class lives in the largest
-   band that it shares, in a chunk of bounded size; two chunks make a block if
-   any band has classes of both.  So every candidate pair meets in one block,
-   and classes that chains of bands connect, but no band, make no blocks.
+2. Classes that share a band are candidates.  Each class lives with the
+   largest band that it shares, or the largest that a neighbour there lives
+   with, in a chunk of bounded size; two chunks make a block if any band has
+   classes of both.  So every candidate pair meets in one block, and classes
+   that long chains of bands connect make no blocks.
 3. Inside a block signatures are compared some values at a time.  A pair is
    dropped as soon as its posterior probability of reaching the threshold
-   (uniform prior) falls below the tolerance.  Only classes with a pair left
-   have their texts fetched, and those pairs are verified on the exact shingle
-   sets.
+   (uniform prior) falls below the tolerance.  Classes with a pair left are put
+   into smaller blocks of those pairs, only they have their texts fetched, and
+   the pairs are verified on the exact shingle sets.
 4. Blocks return sums of links and a spanning forest, never their pairs.
 """
 
@@ -40,8 +41,10 @@ SIGNATURE = 128
 #: Values compared before each pruning.
 STEPS = (16, 32, 64, 96, 128)
 TOLERANCE = 1e-6
-#: Classes a side of a block.
-BLOCK = 128
+#: Classes a side of a block of signatures, compared so many at a time.
+BLOCK, TILE = 256, 256
+#: Classes and words a side of a block of texts.
+TEXTS, TEXT_WORDS = 128, 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -123,7 +126,7 @@ def _digest(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches_: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
-    """The rows of each block, of sorted rows of ``a, b, side, uid, ...``; rows equal in those are one."""
+    """The rows of each block, of rows sorted by their first four columns, the first two of which name it; equal ones are one."""
     held: list[tuple] = []
     for batch in slices(batches_, column):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -136,40 +139,88 @@ def _blocks(batches_: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tu
         yield held
 
 
-def _pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs of a block: within a chunk, or across two."""
-    i, j = np.triu_indices(len(rows), 1)
-    if rows[0][0] != rows[0][1]:
-        side = np.array([r[2] for r in rows])
-        cross = side[i] != side[j]
-        i, j = i[cross], j[cross]
-    return i, j
+def prune(signs: np.ndarray, side: np.ndarray, cross: bool, threshold: float, tolerance: float = TOLERANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices i < j of the pairs that may still reach the threshold, for some rows at a time.
 
-
-def prune(signs: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that may still reach the threshold after each step of values."""
-    matches, done = np.zeros(len(i), np.int64), 0
-    for n in STEPS:
-        matches = matches + (signs[i, done:n] == signs[j, done:n]).sum(1)
-        keep = matches >= least_matches(n, threshold, tolerance)
-        i, j, matches, done = i[keep], j[keep], matches[keep], n
-    return i, j
-
-
-def _signs(rows: list[tuple]) -> np.ndarray:
-    return np.frombuffer(b"".join(r[4] for r in rows), "<u4").reshape(len(rows), SIGNATURE)
-
-
-def _survivors(threshold: float, batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows of ``a, b, side, uid, signature`` those with a pair that pruning leaves, without signatures."""
+    ``cross`` leaves out the pairs of one side.  The first step looks at all
+    pairs of a tile, the later ones at those that are left.
+    """
+    n, columns = len(signs), np.ascontiguousarray(signs.T)
+    for start in range(0, n, TILE):
+        end = min(n, start + TILE)
+        matches = np.zeros((end - start, n), np.int16)
+        for column in columns[: STEPS[0]]:
+            matches += column[start:end, None] == column[None, :]
+        keep = matches >= least_matches(STEPS[0], threshold, tolerance)
+        keep &= np.arange(start, end)[:, None] < np.arange(n)[None, :]
+        if cross:
+            keep &= side[start:end, None] != side[None, :]
+        i, j = np.nonzero(keep)
+        same, done = matches[i, j].astype(np.int64), STEPS[0]
+        i += start
+        for step in STEPS[1:]:
+            same = same + (signs[i, done:step] == signs[j, done:step]).sum(1)
+            keep = same >= least_matches(step, threshold, tolerance)
+            i, j, same, done = i[keep], j[keep], same[keep], step
+        if len(i):
+            yield i, j
+
+
+def _signs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Signatures and sides of a block's rows, and whether only pairs across sides count."""
+    signs = np.frombuffer(b"".join(r[4] for r in rows), "<u4").reshape(len(rows), SIGNATURE)
+    return signs, np.array([r[2] for r in rows]), bool(rows[0][1])
+
+
+def _join(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Join the labels of linked indices (``i`` in order) in place; the pairs that do so are a spanning forest."""
+    cuts = np.flatnonzero(np.diff(i)) + 1
+    for own, others in zip(i[np.r_[0, cuts]] if len(i) else (), np.split(j, cuts)):
+        met, first = np.unique(labels[others], return_index=True)
+        new = met != labels[own]
+        if new.any():
+            labels[np.isin(labels, met[new])] = labels[own]
+            yield from ((int(own), int(others[k])) for k in first[new])
+
+
+def _survivors(threshold: float, texts: int, batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows of ``a, b, side, uid, signature, n_words`` the blocks of texts of the pairs that pruning leaves.
+
+    Rows of ``key, cross, side, uid``: a block's key, whether only pairs
+    across its two sides count, the side of a class and the class.
+    """
     made: list[tuple] = []
     for rows in _blocks(batches_, 4):
-        i, j = prune(_signs(rows), *_pairs(rows), threshold)
-        made.extend(rows[k][:4] for k in np.unique(np.r_[i, j]).tolist())
+        signs, side, cross = _signs([(r[0], r[0] != r[1], *r[2:]) for r in rows])
+        labels, pairs = np.arange(len(rows)), []
+        for i, j in prune(signs, side, cross, threshold):
+            for _ in _join(labels, i, j):
+                pass
+            pairs.append((i, j))
+        if not pairs:
+            continue
+        left = np.unique(np.concatenate([x for p in pairs for x in p]))
+        # classes that are alike stand together, then in the order of their sides
+        left = left[np.lexsort((left, side[left], labels[left]))]
+        group, groups, held, words = np.full(len(rows), -1), 0, 0, 0
+        for k, at in enumerate(left.tolist()):
+            n = rows[at][5]
+            if held and (held >= texts or words + n > TEXT_WORDS or cross and side[at] != side[left[k - 1]]):
+                groups, held, words = groups + 1, 0, 0
+            group[at], held, words = groups, held + 1, words + n
+        met = np.unique(np.concatenate([group[i] * len(rows) + group[j] for i, j in pairs] + [group[j] * len(rows) + group[i] for i, j in pairs]))
+        inside: dict[int, list[int]] = {}
+        for at in left.tolist():
+            inside.setdefault(int(group[at]), []).append(rows[at][3])
+        for x, y in zip((met // len(rows)).tolist(), (met % len(rows)).tolist()):
+            if x <= y:
+                key = hash((rows[0][0], rows[0][1], x, y))
+                made.extend((key, int(x != y), 0, u) for u in inside[x])
+                made.extend((key, 1, 1, u) for u in inside[y] if x != y)
         if len(made) > 50_000:
-            yield _longs(zip(*made), ("a", "b", "side", "uid"))
+            yield _longs(zip(*made), ("key", "across", "side", "uid"))
             made = []
-    yield _longs(zip(*made) if made else [[]] * 4, ("a", "b", "side", "uid"))
+    yield _longs(zip(*made) if made else [[]] * 4, ("key", "across", "side", "uid"))
 
 
 def _longs(columns, names: tuple[str, ...]) -> pa.RecordBatch:
@@ -177,7 +228,7 @@ def _longs(columns, names: tuple[str, ...]) -> pa.RecordBatch:
 
 
 def _verify(threshold: float, batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of ``a, b, side, uid, signature, copies, text``; rows of ``kind, x, y`` out.
+    """Sorted rows of ``key, across, side, uid, signature, copies, text``; rows of ``kind, x, y`` out.
 
     Kind 0: class ``x`` has ``y`` linked documents in this block; kind 1: an
     edge of the block's spanning forest.
@@ -218,12 +269,8 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return both[i, j].astype(np.int64)
 
 
-def similar_pairs(texts: list[str], i: np.ndarray, j: np.ndarray, threshold: float):
+def similar_pairs(sets: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float):
     """Of the pairs of indices those whose exact Jaccard similarity reaches the threshold."""
-    if not len(i):
-        return i, j
-    sets = shingle_sets(texts)
-    sizes = np.array([len(s) for s in sets])
     # a smaller set than the threshold allows cannot match
     keep = np.minimum(sizes[i], sizes[j]) >= np.maximum(1, threshold * np.maximum(sizes[i], sizes[j]) - 1e-9)
     i, j = i[keep], j[keep]
@@ -234,24 +281,14 @@ def similar_pairs(texts: list[str], i: np.ndarray, j: np.ndarray, threshold: flo
 
 def _block(rows: list[tuple], threshold: float) -> tuple[list, list, list]:
     _, _, _, uids, _, copies, texts = zip(*rows)
-    weight = np.array(copies)
-    i, j = similar_pairs(list(texts), *prune(_signs(rows), *_pairs(rows), threshold), threshold)
-    links = np.bincount(i, weight[j], len(rows)) + np.bincount(j, weight[i], len(rows))
+    weight, links, labels, forest = np.array(copies), np.zeros(len(rows)), np.arange(len(rows)), []
+    sets = shingle_sets(list(texts))
+    sizes = np.array([len(s) for s in sets])
+    for i, j in prune(*_signs(rows), threshold):
+        i, j = similar_pairs(sets, sizes, i, j, threshold)
+        links += np.bincount(i, weight[j], len(rows)) + np.bincount(j, weight[i], len(rows))
+        forest.extend(_join(labels, i, j))
     some = np.flatnonzero(links)
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    forest = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[rb] = ra
-            forest.append((a, b))
     kinds = [0] * len(some) + [1] * len(forest)
     x = [uids[k] for k in some] + [uids[a] for a, _ in forest]
     y = [int(links[k]) for k in some] + [uids[b] for _, b in forest]
@@ -268,8 +305,11 @@ def candidate_blocks(reps: DataFrame, block: int = BLOCK, broadcast_rows: int =
     banded = reps.select("uid", F.explode("bands").alias("band"))
     shared = stage(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-bands")
     banded = stage(banded.join(F.broadcast(shared) if is_small(shared, broadcast_rows) else shared, "band"), "near-shared")
-    # a class lives in the largest band that it shares
-    homes = stage(banded.groupBy("uid").agg(F.max_by("band", F.struct("n", "band")).alias("home")), "near-homes")
+    # a class has the largest band that it shares, and lives with the largest that a class of that band has
+    own = stage(banded.groupBy("uid").agg(F.max(F.struct("n", "band")).alias("own")).select("uid", "own.n", "own.band"), "near-own")
+    near = banded.select("uid", F.col("band").alias("of")).join(own, "uid").groupBy("of").agg(F.max(F.struct("n", "band")).alias("home"))
+    near = stage(near.select(F.col("of").alias("band"), F.col("home.band").alias("home")), "near-neighbours")
+    homes = stage(join_groups(own, near, ["band"], broadcast_rows=broadcast_rows).select("uid", "home"), "near-homes")
     sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / block).alias("chunks"))
     lived = join_groups(homes, sizes, ["home"], broadcast_rows=broadcast_rows)
     members = stage(lived.select("uid", F.xxhash64("home", F.pmod(F.xxhash64("uid"), F.col("chunks"))).alias("chunk")), "near-chunks")
@@ -284,7 +324,7 @@ def candidate_blocks(reps: DataFrame, block: int = BLOCK, broadcast_rows: int =
     pairs = stage(across.unionAll(within), "near-pairs")
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("side"))
     met = stage(sides.join(members, F.col("side") == F.col("chunk")).select("a", "b", "side", "uid"), "near-met")
-    discard(shared, banded, homes, members, places, pairs)
+    discard(shared, banded, own, near, homes, members, places, pairs)
     return met
 
 
@@ -294,6 +334,7 @@ def near_duplicates(
     text_col: str = "text",
     threshold: float = THRESHOLD,
     block: int = BLOCK,
+    texts_a_side: int = TEXTS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``id_col, text_hash, class_id, copy_id, n_links, class_key`` for every row of ``docs``.
@@ -324,21 +365,22 @@ def near_duplicates(
     reps = base.join(classes.select(F.col("rep").alias("uid"), "copies"), "uid")
     reps = stage(reps.select("uid", "copies", "id", "text_hash", "bands"), "near-reps")
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        n_parts = max(64, 2 * docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
-        return rows.repartition(n_parts, "a", "b").sortWithinPartitions("a", "b", "side", "uid")
+    n_parts = max(64, 2 * docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
+
+    def dealt(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.repartition(n_parts, *by).sortWithinPartitions(*by, "side", "uid")
 
     met = candidate_blocks(reps, block, broadcast_rows)
-    signs = _only(base.select("uid", "signature"), met.select(F.col("uid").alias("met")).distinct(), F.col("uid") == F.col("met"), broadcast_rows)
-    compared = dealt(met.join(signs, "uid").select("a", "b", "side", "uid", "signature"))
-    left = stage(compared.mapInArrow(partial(_survivors, threshold), "a long, b long, side long, uid long"), "near-left")
-    wanted = stage(left.join(reps.drop("bands"), "uid").join(signs, "uid"), "near-wanted")
+    signs = _only(base.select("uid", "signature", "n_words"), met.select(F.col("uid").alias("met")).distinct(), F.col("uid") == F.col("met"), broadcast_rows)
+    compared = dealt(met.join(signs, "uid").select("a", "b", "side", "uid", "signature", "n_words"), "a", "b")
+    left = stage(compared.mapInArrow(partial(_survivors, threshold, texts_a_side), "key long, across long, side long, uid long"), "near-left")
+    wanted = stage(left.join(reps.drop("bands"), "uid").join(signs.drop("n_words"), "uid"), "near-wanted")
     # texts of the survivors alone move, one of those equal in id and text
     same = lambda i, h: F.col("id").eqNullSafe(F.col(i)) & (F.col("text_hash") == F.col(h))
     kept = wanted.select(F.col("id").alias("w_id"), F.col("text_hash").alias("w_hash")).distinct()
     kept_texts = _only(texts, kept, same("w_id", "w_hash"), broadcast_rows).dropDuplicates(["id", "text_hash"])
     wanted = wanted.withColumnsRenamed({"id": "w_id", "text_hash": "w_hash"})
-    with_text = dealt(kept_texts.join(wanted, same("w_id", "w_hash")).select("a", "b", "side", "uid", "signature", "copies", "text"))
+    with_text = dealt(kept_texts.join(wanted, same("w_id", "w_hash")).select("key", "across", "side", "uid", "signature", "copies", "text"), "key", "across")
     found = stage(with_text.mapInArrow(partial(_verify, threshold), "kind long, x long, y long"), "near-links")
     discard(met, left, reps)
 
