@@ -22,6 +22,9 @@ from functools import lru_cache
 CACHE_PIECES, CACHE_WORDS = 120_000, 300_000
 #: A piece longer than this is not remembered.
 LONGEST_CACHED = 40
+#: Bits of the hash by which a worker knows that it has met a piece before.  Most pieces come once, and only those
+#: that come again are remembered.
+MET_BITS = 22
 #: Letters up to here belong to one class in every version of Unicode.
 _LAST_PLAIN = "\u024f"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -76,6 +79,7 @@ class PieceEncoder:
         #: Type code of the id arrays: two bytes where every id fits.
         self.code = "H" if vocab <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
+        self.met = bytearray(1 << MET_BITS)
         #: Pieces by themselves, and pieces that follow a space.
         self.bare, self.spaced = _Remembered(self._learn_bare), _Remembered(self._learn_spaced)
         self.words: dict[str, bytes] = {}
@@ -103,15 +107,23 @@ class PieceEncoder:
             return array(self.code, self.library.encode(text, num_threads=1)).tobytes()
         return array(self.code, self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def _again(self, piece: str) -> bool:
+        """Whether a piece with this hash was met before."""
+        at = hash(piece) & ((1 << MET_BITS) - 1)
+        if self.met[at]:
+            return True
+        self.met[at] = 1
+        return False
+
     def _learn_bare(self, piece: str) -> bytes:
         ids = self._make(piece, "")
-        if len(self.bare) < CACHE_PIECES and len(piece) <= LONGEST_CACHED:
+        if len(self.bare) < CACHE_PIECES and len(piece) <= LONGEST_CACHED and self._again(piece):
             self.bare[piece] = ids
         return ids
 
     def _learn_spaced(self, piece: str) -> bytes:
         ids = self._make(piece, " ")
-        if len(self.spaced) < CACHE_PIECES and len(piece) <= LONGEST_CACHED:
+        if len(self.spaced) < CACHE_PIECES and len(piece) <= LONGEST_CACHED and self._again(piece):
             self.spaced[piece] = ids
         return ids
 
@@ -136,7 +148,7 @@ class PieceEncoder:
         if found is None:
             mapped = word.replace(" ", "\u0120") if word.isascii() else self.bytes_of(word)[0][0]
             found = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            if len(self.words) < CACHE_WORDS and len(word) <= LONGEST_CACHED:
+            if len(self.words) < CACHE_WORDS and len(word) <= LONGEST_CACHED and self._again(word):
                 self.words[word] = found
         return found
 
