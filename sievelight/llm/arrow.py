@@ -9,11 +9,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at a time; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
 
 
+#: Spark's limit for a batch that goes to Python.
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Send batches of texts of ``SLICE_BYTES`` to Python from here on, where the session allows larger ones.
+
+    A batch is held outside the heap on the JVM's side and once more by the
+    worker, for each task at work.
+    """
+    if int(spark.conf.get(BATCH_CONF, "67108864b").rstrip("b")) > SLICE_BYTES:
+        spark.conf.set(BATCH_CONF, str(SLICE_BYTES))
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker stays alive between stages beside a JVM that wants the room."""
     pa.default_memory_pool().release_unused()
@@ -26,8 +41,9 @@ def give_back() -> None:
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in parts whose ``column`` (strings or bytes) has about ``most`` bytes.
 
-    Spark cuts batches by rows, and ten thousand long texts would be in
-    memory several times over: as Arrow data, as Python strings, as results.
+    Sessions may cut batches by rows alone, and ten thousand long texts would
+    be in memory several times over: as Arrow data, as Python strings, as
+    results.
     """
     for batch in batches:
         if not batch.num_rows:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.arrow import slices
+from sievelight.llm.arrow import bound_batches, slices
 from sievelight.llm.hashing import U64, WORD_BASE, batches, mix, word_hashes
 from sievelight.llm.rows import drop_rows
 from sievelight.plans.sizing import BROADCAST_ROWS, is_small, join_groups
@@ -226,6 +226,7 @@ def find_overlaps(
     their rows, and items of one id count as one; empty tables give no rows;
     other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     known = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.arrow import slices
+from sievelight.llm.arrow import bound_batches, slices
 from sievelight.llm.hashing import batches, shingle_hashes, word_hashes
 from sievelight.llm.ranges import place_rows, plan_ranges, sized
 from sievelight.plans.staging import discard, stage
@@ -156,6 +156,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nearly equal bytes, and an id with very many texts has several.  Each
     range also gets the first document of the range behind it.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.arrow import slices
+from sievelight.llm.arrow import bound_batches, slices
 from sievelight.llm.components import connected_components
 from sievelight.llm.hashing import U64, WORD_BASE, batches, mix, shingle_hashes, word_hashes
 from sievelight.llm.rows import drop_rows, fresh, same_row
@@ -353,6 +353,7 @@ def near_duplicates(
     ignored.  A pair is missed only if no band brings it together (0.00005 at
     the threshold), or if pruning drops it (``TOLERANCE``).
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     schema = "id long, text_hash long, h1 long, h2 long, n_words long, bands array<long>, signature binary"
     base = stage(texts.mapInArrow(_digest, schema).withColumn("uid", F.monotonically_increasing_id()), "near-digests")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.arrow import slices
+from sievelight.llm.arrow import bound_batches, slices
 from sievelight.llm.hashing import batches, word_hashes
 from sievelight.llm.rows import drop_rows
 from sievelight.plans.sizing import join_groups
@@ -127,6 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     least hash of id and text are fitted on, in that order, so that runs
     agree.  Null ids and labels count for nothing.
     """
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where("__id is not null and __y is not null")
     known = known.groupBy("__id").agg((F.avg("__y") >= 0.5).cast("double").alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)  # the broadcast below is of so many rows at most
@@ -189,6 +190,7 @@ def score_documents(
     and repeated ids keep their rows (``text_hash`` tells them apart); an
     empty table gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"),

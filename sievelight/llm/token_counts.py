@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.arrow import slices
+from sievelight.llm.arrow import bound_batches, slices
 from sievelight.llm.encoding import encoder, tokenizer_version
 from sievelight.plans.sizing import BROADCAST_ROWS, is_small, join_groups
 from sievelight.plans.staging import discard, new_path, stage
@@ -65,6 +65,7 @@ def count_tokens(
     by an aggregation on the digest beyond that.  Rows that repeat both cannot
     be told apart; they alone are brought together by their digest first.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     texts = docs.select(F.col(id_col).alias("id"), _normalised(text_col).alias("text"))

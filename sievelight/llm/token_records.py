@@ -28,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.arrow import slices
+from sievelight.llm.arrow import bound_batches, slices
 from sievelight.llm.encoding import encoder
 from sievelight.llm.ranges import place_rows, plan_ranges, sized
 from sievelight.plans.staging import discard
@@ -129,6 +129,7 @@ def write_records(
     equal bytes of text.  Texts are encoded where they are read and only ids
     move, once, to the file they belong to.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sizes = sized(docs, id_col, text_col)
     plan = plan_ranges(sizes, files or LEAST_FILES)
