@@ -9,7 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text handled at a time; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
@@ -29,6 +31,19 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(SLICE_BYTES))
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table; structs in them are dicts.
+
+    They go to the JVM as Arrow data.  From a list of tuples Spark makes an
+    RDD of Python objects, for which every executor starts a second daemon
+    with workers of its own that stay beside those of the operators.
+    """
+    kind = StructType.fromDDL(schema)
+    fields = to_arrow_schema(kind)
+    columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), kind)
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker stays alive between stages beside a JVM that wants the room."""
     pa.default_memory_pool().release_unused()

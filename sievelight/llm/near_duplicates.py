@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from sievelight.llm.arrow import bound_batches, slices
 from sievelight.llm.components import connected_components
+from sievelight.llm.encoding import forget_encoders
 from sievelight.llm.hashing import U64, WORD_BASE, batches, mix, shingle_hashes, word_hashes
 from sievelight.llm.rows import drop_rows, fresh, same_row
 from sievelight.plans.sizing import BROADCAST_ROWS, is_small, join_groups, without
@@ -96,6 +97,7 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 
 
 def _digest(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_encoders()
     for batch in slices(batches_, 1):
         texts = batch.column(1).to_pylist()
         h1, h2 = np.zeros(len(texts), U64), np.zeros(len(texts), U64)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.arrow import bound_batches, slices
+from sievelight.llm.encoding import forget_encoders
 from sievelight.llm.hashing import batches, word_hashes
 from sievelight.llm.rows import drop_rows
 from sievelight.plans.sizing import join_groups
@@ -112,6 +113,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2.0, rounds: int = 25) ->
 
 
 def _featurise(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_encoders()
     for batch in slices(batches_, 0):
         x = features(batch.column(0).to_pylist())
         flat = pa.array(x.reshape(-1))
@@ -145,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _score(model, batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     classifier: Classifier = model.value
+    forget_encoders()
     for batch in slices(batches_, 1):
         logits = classifier.logits(features(batch.column(1).to_pylist()))
         columns = [batch.column(0), *batch.columns[2:], pa.array(logits)]

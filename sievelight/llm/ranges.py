@@ -14,6 +14,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm.arrow import small_table
 from sievelight.plans.staging import stage
 
 #: Bytes of texts in a range, about, the most ranges, and bins for each range.
@@ -25,7 +26,7 @@ ROW_BYTES = 64
 def _bins(rows: DataFrame, shift: int, within: list[int] | None, above: int) -> dict[int, int]:
     """Bytes by ``id >> shift``, of all ids or of those whose ``id >> above`` is one of ``within``."""
     if within is not None:
-        own = rows.sparkSession.createDataFrame([(w,) for w in within], "__w long")
+        own = small_table(rows.sparkSession, [(w,) for w in within], "__w long")
         rows = rows.join(F.broadcast(own), F.shiftright("id", above) == F.col("__w"))
     counted = rows.groupBy(F.shiftright("id", shift).alias("bin")).agg(F.sum("size").alias("size"))
     return {r.bin: r["size"] for r in counted.collect()}
@@ -97,8 +98,9 @@ def plan_ranges(rows: DataFrame, least: int, range_bytes: int = RANGE_BYTES, mos
             before = bisect_right(firsts, b << shift) - 1
             start = [(b << shift, edges[max(0, before)][1])] if edges else []
             table.append((b, start + [e for e in by_bin.get(b, []) if e[0] > b << shift]))
-    bins = spark.createDataFrame(table, "bin long, edges array<struct<first: long, range: int>>")
-    hot_ids = spark.createDataFrame(own, "h_id long, h_first int, h_n int")
+    table = [(b, [{"first": f, "range": r} for f, r in e]) for b, e in table]
+    bins = small_table(spark, table, "bin long, edges array<struct<first: long, range: int>>")
+    hot_ids = small_table(spark, own, "h_id long, h_first int, h_n int")
     return bins, hot_ids, shift, next_
 
 

@@ -28,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.arrow import bound_batches, slices
+from sievelight.llm.arrow import bound_batches, slices, small_table
 from sievelight.llm.encoding import encoder
 from sievelight.llm.ranges import place_rows, plan_ranges, sized
 from sievelight.plans.staging import discard
@@ -222,8 +222,8 @@ def read_records(spark: SparkSession, folder: str, digest: bool = False, id_col:
     schema = f"id long, start long, n_tokens long, {last}"
     files = [(f["name"], f["start"]) for f in manifest["files"]]
     if not files:
-        out = spark.createDataFrame([], schema)
+        out = small_table(spark, [], schema)
     else:
-        named = spark.createDataFrame(files, "name string, base long").repartition(min(len(files), 10_000))
+        named = small_table(spark, files, "name string, base long").repartition(min(len(files), 10_000))
         out = named.mapInArrow(partial(_read, folder, manifest["width"], digest), schema)
     return out.withColumnRenamed("id", id_col)

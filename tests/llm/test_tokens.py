@@ -1,14 +1,19 @@
 import struct
+import weakref
 import zlib
+from functools import partial
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from sievelight.llm import token_counts, token_records  # noqa: E402
-from sievelight.llm.encoding import PieceEncoder  # noqa: E402
+from sievelight.llm import near_duplicates, quality, token_counts, token_records  # noqa: E402
+from sievelight.llm.encoding import PieceEncoder, encoder  # noqa: E402
+from sievelight.llm.ranges import plan_ranges, sized  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ENCODER = PieceEncoder(PATH)
@@ -104,6 +109,30 @@ def test_records_of_hot_ids(spark, tmp_path):
     assert sorted((str(r.doc_id), list(r.ids)) for r in got) == want
 
 
+def test_tables_of_the_driver_start_no_python(spark, odd_docs, tmp_path):
+    """Ranges, hot ids and names of files are no RDDs of Python objects, with rows or without."""
+    for docs, label in ((odd_docs, "some"), (odd_docs.limit(0), "none")):
+        folder = f"file://{tmp_path}/{label}"
+        token_records.write_records(docs, folder, PATH, files=3)
+        bins, hot, *_ = plan_ranges(sized(docs, "doc_id", "text"), 3)
+        for df in (bins, hot, token_records.read_records(spark, folder, digest=True)):
+            plan = "LocalRelation" if df is None else df._jdf.queryExecution().analyzed().toString()
+            assert "LocalRelation" in plan and "LogicalRDD" not in plan and "ExternalRDD" not in plan
+        assert token_records.read_records(spark, folder).count() == docs.count()
+
+
+def test_other_work_frees_the_encoder():
+    """A worker that scores or compares texts gives up the encoder of the task before, and the texts get the same ids later."""
+    model = SimpleNamespace(value=quality.fit(np.zeros((0, quality.FEATURES)), np.zeros(0)))
+    texts = pa.RecordBatch.from_pydict({"id": [1], "text": ["some words here and there"], "text_hash": [2], "host": ["a"], "path": ["b"]})
+    scored = pa.RecordBatch.from_pydict({"text": ["some words"], "y": [1.0], "h": [3]})
+    for work, batch in ((quality._featurise, scored), (partial(quality._score, model), texts), (near_duplicates._digest, texts.select([0, 1, 2]))):
+        kept = weakref.ref(encoder(PATH))
+        before = kept().encode("some words again, some words")
+        assert sum(b.num_rows for b in work(iter([batch]))) == 1
+        assert kept() is None and encoder(PATH).encode("some words again, some words") == before
+
+
 def test_damage_is_seen():
     data = bytearray(token_records.frame(b"payload"))
     assert token_records.unframe(data, 0) == (b"payload", len(data))
